@@ -121,9 +121,8 @@ def weigh(counts: np.ndarray, parent: np.ndarray, level: np.ndarray, depth: int)
     that leaves the tree earlier meets the node's rest.
     """
     nodes = len(counts)
-    below = np.zeros_like(counts)
-    np.add.at(below, parent[1:], counts[1:])
-    rest = counts - below
+    rest = counts.copy()
+    np.subtract.at(rest, parent[1:], counts[1:])
     block = 2048
     inside = np.zeros((nodes, 256), np.float32)  # log of the product of the children's Pw
     stop = np.ones((nodes, 256), np.float32)  # weight of the node's own estimate
@@ -163,7 +162,7 @@ def weigh(counts: np.ndarray, parent: np.ndarray, level: np.ndarray, depth: int)
     return table
 
 
-def train(docs: DataFrame, depth: int = 4, nodes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """(table, child) from all texts of ``docs(text)``: log10 P(byte | node) and the node one byte longer or -1, both (nodes, 256)."""
     grams = stored(gram_counts(docs, depth), "grams")
     spread = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
@@ -175,8 +174,8 @@ def train(docs: DataFrame, depth: int = 4, nodes: int = 1 << 15) -> tuple[np.nda
         d, c = np.zeros(1, np.int64), np.zeros(1, np.int64)
     order = np.lexsort((c, d))
     d, c = d[order], c[order]
-    keys = (d << 40) | c
-    shorter = (np.maximum(d - 1, 0) << 40) | (c & ((np.int64(1) << (8 * np.maximum(d - 1, 0))) - 1))
+    keys = (d << 48) | c
+    shorter = (np.maximum(d - 1, 0) << 48) | (c & ((np.int64(1) << (8 * np.maximum(d - 1, 0))) - 1))
     parent = np.searchsorted(keys, shorter)
     child = np.full((len(d), 256), -1, np.int32)
     grown = np.flatnonzero(d)
@@ -228,7 +227,7 @@ def _dictionary(column: pa.Array, learns: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(at, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def score(docs: DataFrame, depth: int = 4, nodes: int = 1 << 15, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with scores learnt from rows whose crc32(doc_id as text) mod ``folds`` isn't ``fold``.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
