@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
+def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.chroma import fingerprints, search, tones
+
+    return search(fingerprints(tones(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "id", "audio"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.url_filter import filter_urls
 
@@ -34,6 +40,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "n_blocks", "array_join(licenses, ',') AS licenses", "to_json(blocks) AS blocks")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.line_dedup import dedup_lines
 
@@ -67,9 +79,11 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chroma_search": op1_chroma_search,
     "op2_url_filter": op2_url_filter,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_source_mixing": op8_source_mixing,
