@@ -128,12 +128,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def repeated_grams(c: Column, n: int = 4) -> Column:
     """Distinct n-grams that occur more than once, per n-gram; grams are counted by a sort, not by comparing all with all."""
-    words = plain_tokens(F.coalesce(c, F.lit("")))
-    total = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    grams = F.when(total > 0, F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    ordered = F.array_sort(grams)
-    again = F.filter(ordered, lambda g, i: (F.coalesce(F.get(ordered, i + 1), F.lit("")) == g) & (F.coalesce(F.get(ordered, i - 1), F.lit("")) != g))
-    return safe_div(F.size(again).cast("double"), F.greatest(total, F.lit(1)))
+    def bound(value: Column, body) -> Column:  # what a lambda reads must be computed before it, once
+        return F.transform(F.array(value), body)[0]
+
+    def grams(words: Column) -> Column:
+        total = F.size(words) - (n - 1)
+        made = F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(total > 0, F.array_sort(made)).otherwise(F.array().cast("array<string>"))
+
+    def ratio(ordered: Column) -> Column:
+        first = F.filter(ordered, lambda g, i: (F.coalesce(F.get(ordered, i + 1), F.lit("")) == g) & ((i == 0) | (F.coalesce(F.get(ordered, i - 1), F.lit("")) != g)))
+        return safe_div(F.size(first).cast("double"), F.size(ordered))
+
+    return bound(bound(plain_tokens(F.coalesce(c, F.lit(""))), grams), ratio)
 
 
 def top_keywords(df, keys: Sequence[str], column: str, k: int = 20, least: int = 5):
