@@ -32,7 +32,7 @@ from quillon.llm.textbytes import LOWER, U64, buffer_of, pieces, spans, word_has
 CHUNK_BYTES = 24 << 20
 
 
-def _streams(column: pa.Array, depth: int, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _streams(column: pa.Array, depth: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(a, b, stream, ends): rows a to b as one stream, each as ``depth`` zeros, its A-Z lower-cased bytes and a final zero.
 
     ends[i] is where row a + i stops; its final zero is a symbol of the text.

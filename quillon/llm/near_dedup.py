@@ -47,7 +47,7 @@ def sketches(docs: DataFrame, w: int, k: int, id_col: str = "doc_id", text_col:
                 with np.errstate(over="ignore"):
                     h1.append(int(np.add.reduce(mix(own))) if len(own) else 0)
                     h2.append(int(np.bitwise_xor.reduce(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)))) if len(own) else 0)
-                kept.append(own[:k])
+                kept.append(own[:k].copy())
                 sizes.append(sizes[-1] + min(k, len(own)))
             values = np.concatenate([*kept, np.zeros(0, U64)]).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values))

@@ -65,7 +65,7 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of at most ``limit`` bytes each, or of one row that is longer."""
     a, n = 0, len(offsets) - 1
     while a < n:
