@@ -5,9 +5,9 @@ its sketch is the k smallest hashes. The steps, none of which collects a group:
 
 1. Documents with equal sets become one class, whose least doc_id stands for it.
 2. Inverted lists hold, per class, its rarest retained values. Classes as alike
-   as asked for share most of their ``head`` smallest values, so that leaving
-   out the commonest third of them loses no pair (a value that a third of the
-   corpus shares is seldom among the rarest of any document).
+   as asked for share most retained values, so that leaving out the commonest
+   ones, as many as must be shared less one, loses no pair (a value that a third
+   of the corpus shares is seldom among the rarest of any document).
 3. In each list, the class with the most shared values is the pivot; the others
    are paired with it, which takes as many pairs as the list has members, and
    links most of a large group of near copies.
@@ -57,13 +57,16 @@ def sketches(docs: DataFrame, w: int, k: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule the similarity out."""
     a = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
     b = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
+    whole = (F.size("sa") < k) & (F.size("sb") < k)  # such sketches are the sets
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     both = F.array_intersect(union, F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(F.size(both) >= F.lit(least) * F.size(union)).select("a", "b")
+    exact = 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(F.array_union("sa", "sb"))
+    likely = F.size(both) >= F.lit(least) * F.size(union)
+    return pairs.join(a, "a").join(b, "b").where(F.when(whole, exact).otherwise(likely)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataFrame:
@@ -98,7 +101,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataF
     return out
 
 
-def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64, head: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
     Links documents whose sets of distinct ``w``-word shingles have
@@ -118,10 +121,14 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     reps = stored(reps.select("doc_id", "n", "sketch"), "reps")
 
-    # The rarest of the first `head` values; a value of one class only can't make a pair, but fills a place.
-    size = F.least(F.col("n"), F.lit(head)).cast("int")
-    places = size - F.greatest(F.lit(1), F.floor(size / 3)).cast("int") + 1
-    values = reps.select("doc_id", "n", places.alias("places"), size.alias("size"), F.explode(F.slice("sketch", 1, head)).alias("v"))
+    # The rarest retained values; a value of one class only can't make a pair, but fills a place. Of two sets that fit
+    # into their sketches, and whose partners must fit too, the shared values are known; else five deviations below the mean.
+    size, share = F.least(F.col("n"), F.lit(k)).cast("int"), percent / 100
+    whole = F.lit(percent) * size / 100
+    likely = F.floor(size * (share - 5 * (share * (1 - share) / k) ** 0.5))
+    needed = F.greatest(F.lit(1), F.when(F.col("n") <= k * percent // 100, F.ceil(whole)).otherwise(likely)).cast("int")
+    places = size - needed + 1
+    values = reps.select("doc_id", "n", places.alias("places"), size.alias("size"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     values = values.join(often, "v")
     own = Window.partitionBy("doc_id")
@@ -135,7 +142,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     top = lists.groupBy("v").agg(F.max(F.struct("shared", (-F.col("doc_id")).alias("p"), "n")).alias("t")).select("v", (-F.col("t.p")).alias("pivot"), F.col("t.n").alias("pn"))
     near = lists.join(top, "v").where(F.col("doc_id") != F.col("pivot")).where(able("n", "pn"))
     tried = stored(near.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "tried")
-    links = _confirmed(stored(_estimated(tried, reps, k, sure), "pairs"), docs, w, percent)
+    links = _confirmed(stored(_estimated(tried, reps, k, sure, percent), "pairs"), docs, w, percent)
 
     # Lists that still hold several components: pairs across components that were not tried.
     group = stored(components(links), "groups")
@@ -145,7 +152,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     x, y = rest.alias("x"), rest.alias("y")
     across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & able("x.n", "y.n"))
     across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _confirmed(stored(_estimated(across, reps, k, sure), "pairs"), docs, w, percent)
+    more = _confirmed(stored(_estimated(across, reps, k, sure, percent), "pairs"), docs, w, percent)
     final = stored(components(links.unionByName(more)), "components")
     release(lists, tried, group, rest, reps)
 
