@@ -11,7 +11,9 @@ its sketch is the k smallest hashes. The steps, none of which collects a group:
 3. In each list, the class with the most shared values is the pivot; the others
    are paired with it, which takes as many pairs as the list has members, and
    links most of a large group of near copies.
-4. Lists whose members are then still in different components pair these.
+4. Lists whose members are then still in different components pair these, if what
+   both share with any other such document would be enough: shingles that one
+   document alone has bound its similarity to all others, exactly.
 5. The Jaccard estimate of the two sketches' union drops poor pairs, and exact
    Jaccard similarity of the full sets confirms links.
 6. Components of the links are the groups.
@@ -101,6 +103,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataF
     return out
 
 
+def _own_only(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
+    """(doc_id, alone): how many of a document's shingles no other document of ``ids`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, found, rows = [], [], 0
+            for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), w), strict=True):
+                held.append(np.full(len(own), doc_id, np.int64))
+                found.append(own)
+                rows += len(own)
+                if rows > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
+                    held, found, rows = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
+
+    own = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
+    single = own.groupBy("h").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
+    return single.groupBy("doc_id").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
@@ -149,12 +172,16 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     placed = lists.join(group, lists.doc_id == group.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("v")
     rest = stored(placed.join(mixed, "v"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & able("x.n", "y.n"))
+    alone = _own_only(docs, rest.select("doc_id").distinct(), w)
+    bounded = rest.join(alone, "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    bounded = stored(bounded.where(F.col("s") * 100 >= F.col("n") * percent), "bounded")
+    x, y = bounded.alias("x"), bounded.alias("y")
+    common = F.expr(f"(100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n)")
+    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & able("x.n", "y.n") & common)
     across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _confirmed(stored(_estimated(across, reps, k, sure, percent), "pairs"), docs, w, percent)
     final = stored(components(links.unionByName(more)), "components")
-    release(lists, tried, group, rest, reps)
+    release(lists, tried, group, rest, bounded, reps)
 
     to = classes.join(final, classes.rep == final.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.join(to, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
