@@ -11,9 +11,9 @@ its sketch is the k smallest hashes. The steps, none of which collects a group:
 3. In each list, the class with the most shared values is the pivot; the others
    are paired with it, which takes as many pairs as the list has members, and
    links most of a large group of near copies.
-4. Lists whose members are then still in different components pair these, if what
-   both share with any other such document would be enough: shingles that one
-   document alone has bound its similarity to all others, exactly.
+4. Lists whose members are then still in different components leave these to an
+   exact prefix join on the full sets: shingles put from rare to common, a pair
+   meets early enough in both to leave the overlap that it needs, or never.
 5. The Jaccard estimate of the two sketches' union drops poor pairs, and exact
    Jaccard similarity of the full sets confirms links.
 6. Components of the links are the groups.
@@ -103,8 +103,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataF
     return out
 
 
-def _own_only(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
-    """(doc_id, alone): how many of a document's shingles no other document of ``ids`` has."""
+def _shingle_rows(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
+    """(doc_id, h): every shingle of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +119,34 @@ def _own_only(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
 
-    own = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
-    single = own.groupBy("h").agg(F.count("*").alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
-    return single.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
+
+
+def _across(docs: DataFrame, rest: DataFrame, w: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of ``rest`` (doc_id, n, c) in different components c that may be alike enough.
+
+    An exact prefix join on the full sets: with each document's shingles put from
+    rare to common, a pair first meets at places early enough to leave the
+    overlap that it needs behind them. In a list, only documents outside its
+    largest component look for partners.
+    """
+    rows = stored(_shingle_rows(docs, rest.select("doc_id"), w), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("doc_id")
+    held = rows.join(often, "h").withColumns({"s": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "h"))})
+    sizes = rest.groupBy("c").agg(F.count("*").alias("size"))
+    held = held.join(rest.join(sizes, "c"), "doc_id")
+    # What a document has from a place on, its shingles that no other has coming first.
+    held = held.withColumn("left", F.col("s") - F.col("at") + 1).where(F.col("left") * 100 >= F.col("n") * percent)
+    held = stored(held.select("h", "doc_id", "n", "c", "size", "left"), "prefixes")
+    mixed = held.groupBy("h").agg(F.max(F.struct("size", "c")).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", F.col("t.c").alias("main"))
+    x = held.join(mixed, "h").where("c <> main").alias("x")
+    y = held.drop("size").alias("y")
+    near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * least(x.left, y.left) >= {percent} * (x.n + y.n)")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & near)
+    out = stored(pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "across")
+    release(rows, held)
+    return out
 
 
 def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +166,8 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     sk = stored(sketches(docs, w, k), "sketches")
     known = sk.where("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
+    first = classes.select(F.col("rep").alias("doc_id"), F.struct("n", "h1", "h2").alias("set"))
+    reps = known.join(first, "doc_id").where(F.col("set") == F.struct("n", "h1", "h2")).dropDuplicates(["doc_id"])
     reps = stored(reps.select("doc_id", "n", "sketch"), "reps")
 
     # The rarest retained values; a value of one class only can't make a pair, but fills a place. Of two sets that fit
@@ -151,12 +177,12 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     likely = F.floor(size * (share - 5 * (share * (1 - share) / k) ** 0.5))
     needed = F.greatest(F.lit(1), F.when(F.col("n") <= k * percent // 100, F.ceil(whole)).otherwise(likely)).cast("int")
     places = size - needed + 1
-    values = reps.select("doc_id", "n", places.alias("places"), size.alias("size"), F.explode("sketch").alias("v"))
+    values = reps.select("doc_id", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     values = values.join(often, "v")
     own = Window.partitionBy("doc_id")
     values = values.withColumns({"shared": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "v"))})
-    lists = stored(values.where("at <= places - (size - shared)").select("v", "doc_id", "n", "shared"), "lists")
+    lists = stored(values.where(F.col("at") <= places - (size - F.col("shared"))).select("v", "doc_id", "n", "shared"), "lists")
 
     def able(x: str, y: str) -> F.Column:
         return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
@@ -171,17 +197,12 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     group = stored(components(links), "groups")
     placed = lists.join(group, lists.doc_id == group.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("v")
-    rest = stored(placed.join(mixed, "v"), "rest")
-    alone = _own_only(docs, rest.select("doc_id").distinct(), w)
-    bounded = rest.join(alone, "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    bounded = stored(bounded.where(F.col("s") * 100 >= F.col("n") * percent), "bounded")
-    x, y = bounded.alias("x"), bounded.alias("y")
-    common = F.expr(f"(100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n)")
-    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & able("x.n", "y.n") & common)
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _confirmed(stored(_estimated(across, reps, k, sure, percent), "pairs"), docs, w, percent)
+    rest = stored(placed.join(mixed, "v").select("doc_id", "n", "c").distinct(), "rest")
+    across = _across(docs, rest, w, percent)
+    untried = across.join(tried, ["a", "b"], "left_anti")
+    more = _confirmed(stored(_estimated(untried, reps, k, sure, percent), "pairs"), docs, w, percent)
     final = stored(components(links.unionByName(more)), "components")
-    release(lists, tried, group, rest, bounded, reps)
+    release(lists, tried, group, rest, across, reps)
 
     to = classes.join(final, classes.rep == final.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.join(to, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
