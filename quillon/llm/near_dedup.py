@@ -36,6 +36,8 @@ from quillon.llm.textbytes import U64, mix, shingle_sets
 
 _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _LINK = "a long, b long"
+#: Ids that go to every executor at most (8 bytes each); with more, the texts are shuffled to them.
+SENT_IDS = 500_000
 
 
 def sketches(docs: DataFrame, w: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,6 +73,12 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float, percent:
     return pairs.join(a, "a").join(b, "b").where(F.when(whole, exact).otherwise(likely)).select("a", "b")
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents, one row each, whose doc_id is in ``ids``, a stored table of distinct ones."""
+    few = ids.count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -92,14 +100,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataF
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = own.select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary")
-    own = stored(own, "sets")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    own = stored(_of(docs, ids).select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary"), "sets")
     a = own.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
     b = own.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
     out = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "ia", "ib").mapInArrow(judge, _LINK), "confirmed")
-    release(own)
+    release(own, ids)
     return out
 
 
@@ -119,7 +125,7 @@ def _shingle_rows(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
 
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
+    return _of(docs, ids).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
 
 
 def _across(docs: DataFrame, rest: DataFrame, w: int, percent: int) -> DataFrame:
