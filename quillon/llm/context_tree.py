@@ -7,14 +7,18 @@ probabilities are mixed with weight 1/2 each, at all depths:
 
     Pw(node) = 1/2 KT(node) + 1/2 product of Pw(child)
 
-The counts come from all training texts: executors count the distinct runs of
-depth + 1 bytes of their share, one aggregate adds them up. The tree keeps the
-``nodes`` commonest contexts (a context's own suffixes are at least as common,
-so the tree is closed), which bounds what is broadcast: ``nodes`` x 256 x 8
-bytes. What a kept node's dropped children have seen is one child more, "the
-rest", itself a leaf, so that no observation is left out. Weights are those
-after the last training byte and stay fixed, so scores don't depend on the
-order of documents and sum to 1 over all texts.
+The tree keeps every context of the training texts. Texts are dealt into chunks;
+a chunk sends its distinct runs of depth + 1 bytes, packed, to the part of the
+tree under the run's last two context bytes, where the chunks' counts are added
+up and the part is weighed. What lies above the parts has a fixed size (256 x 256
+decisions) and is weighed on the driver; the parts then send each chunk the costs
+of its own runs. Only decisions that some text meets are held. Weights are those
+after the last training byte and stay fixed, so scores don't depend on the order
+of documents and sum to 1 over all texts.
+
+With ``nodes`` given, the tree is one broadcast table of the commonest contexts
+(a context's own suffixes are at least as common, so the tree is closed), and what
+a kept node's dropped children have seen is one child more, "the rest", a leaf.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +218,166 @@ def code_lengths(column: pa.Array, table: np.ndarray, child: np.ndarray, depth:
     return out
 
 
+def _runs(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The bytes at the positions, each behind its context with the nearest byte first: runs under one context are neighbours in order."""
+    run = np.zeros(len(at), np.int64)
+    for d in range(1, depth + 1):
+        run = (run << 8) | stream[at - d]
+    return (run << 8) | stream[at]
+
+
+def _added(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs, ascending, and the sums of their counts."""
+    if not len(runs):
+        return runs, counts
+    order = np.argsort(runs, kind="stable")
+    runs, counts = runs[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    return runs[first], np.add.reduceat(counts, first)
+
+
+def run_counts(column: pa.Array, learns: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of the texts, ascending, and how often each occurs in those that ``learns`` marks."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b, stream, ends in _streams(column, depth):
+        at = _coded(stream, ends, depth)
+        sizes = np.diff(np.concatenate([[0], ends])) - depth
+        marked = np.sort((_runs(stream, at, depth) << 1) | np.repeat(learns[a:b], sizes))
+        own = marked >> 1
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        held.append((own[first], np.add.reduceat(marked & 1, first)))
+        if len(held) > 8:
+            held = [_added(*map(np.concatenate, zip(*held, strict=True)))]
+    return _added(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Longs as compressed planes of bytes."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _sent(runs: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, runs, counts) for each part of the tree: its two nearest bytes, the rest of the runs as packed steps, packed counts."""
+    low = 8 * (depth - 1)
+    part = runs >> low
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(runs) else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(runs)], strict=True):
+        yield int(part[a]), _pack(np.diff(runs[a:b] & ((1 << low) - 1), prepend=0)), _pack(counts[a:b])
+
+
+def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A part's runs and their counts over all chunks, added up a few million at a time."""
+    held, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for runs, counts in zip(table["runs"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        held.append((np.cumsum(_unpack(runs)), _unpack(counts)))
+        waiting += len(held[-1][0])
+        if waiting > 1 << 21:
+            held, waiting = [_added(*map(np.concatenate, zip(*held, strict=True)))], 0
+    return _added(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _decided(runs: np.ndarray, counts: np.ndarray, depth: int, bit: int) -> tuple[np.ndarray, list[tuple]]:
+    """(decision of each run, nodes from length 2 to ``depth``) of a part for bit ``bit`` of the byte.
+
+    Nodes of a length: (node of each run, zeros seen, ones seen, log Pw, weight of the own estimate).
+    """
+    byte = runs & 255
+    decision = (1 << bit) | (byte >> (8 - bit))
+    ones = counts * ((byte >> (7 - bit)) & 1)
+    nodes, below = [], None
+    for d in range(depth, 1, -1):
+        keys, node = np.unique(((runs >> (8 * (depth - d + 1))) << 8) | decision, return_inverse=True)
+        one = np.bincount(node, ones, len(keys))
+        zero = np.bincount(node, counts, len(keys)) - one
+        own = _log_kt(zero, one)
+        if below is None:
+            whole, stop = own, np.ones(len(keys))
+        else:
+            up = np.empty(len(below[1]), np.int64)
+            up[below[0]] = node
+            whole = np.logaddexp(own, np.bincount(up, below[1], len(keys))) - np.log(2)
+            stop = np.exp(own - np.log(2) - whole)
+        below = node, whole
+        nodes.append((node, zero, one, whole, stop))
+    return decision, nodes[::-1]
+
+
+def _costs(part: int, runs: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """log10 P(byte | context) of each of a part's runs; ``top`` is what the lengths 0 and 1 give, and the weight left below."""
+    out = np.zeros(len(runs))
+    for bit in range(8):
+        decision, nodes = _decided(runs, counts, depth, bit)
+        gone, left = (x[part >> 8, decision] for x in top)
+        for node, zero, one, _whole, stop in nodes:
+            gone = gone + left * (stop * ((one + 0.5) / (zero + one + 1.0)))[node]
+            left = left * (1 - stop)[node]
+        ones = np.clip(gone, 1e-9, 1 - 1e-7)
+        out += np.log10(np.where((runs >> (7 - bit)) & 1, ones, 1 - ones))
+    return out
+
+
+def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(gone, left), both (256, 256) by nearest byte and decision, from sums over the parts under each byte."""
+    zero, one, inside = (np.zeros((256, 256)) for _ in range(3))
+    at = rows["near"].to_numpy(), rows["decision"].to_numpy()
+    for x, name in ((zero, "zero"), (one, "one"), (inside, "inside")):
+        x[at] = rows[name].to_numpy()
+    own = _log_kt(zero, one)
+    whole = np.logaddexp(own, inside) - np.log(2)
+    stop = np.exp(own - np.log(2) - whole)
+    estimate = (one + 0.5) / (zero + one + 1.0)
+    zero, one, own = zero.sum(axis=0), one.sum(axis=0), _log_kt(zero.sum(axis=0), one.sum(axis=0))
+    first = np.exp(own - np.logaddexp(own, whole.sum(axis=0)))
+    return first * ((one + 0.5) / (zero + one + 1.0)) + (1 - first) * stop * estimate, (1 - first) * (1 - stop)
+
+
+def run_costs(sent: DataFrame, depth: int) -> DataFrame:
+    """(chunk, part, costs): for each row of ``sent(chunk, part, runs, counts)`` the costs of its runs, as floats, under the tree of all rows' counts."""
+
+    def weighed(group: pa.Table) -> pa.Table:
+        part, (runs, counts) = group["part"][0].as_py(), _gathered(group)
+        found = []
+        for bit in range(8):
+            decision, nodes = _decided(runs, counts, depth, bit)
+            node, zero, one, whole, _stop = nodes[0]
+            name = np.zeros(len(zero), np.int32)
+            name[node] = decision
+            found.append((name, zero, one, whole))
+        name, zero, one, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"near": np.full(len(name), part >> 8, np.int32), "far": np.full(len(name), part & 255, np.int32), "decision": name, "zero": zero, "one": one, "whole": whole})
+
+    parts = sent.groupBy("part").applyInArrow(weighed, "near int, far int, decision int, zero double, one double, whole double")
+    inside = F.aggregate(F.array_sort(F.collect_list(F.struct("far", "whole"))), F.lit(0.0), lambda s, x: s + x["whole"])
+    top = _top(parts.groupBy("near", "decision").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), inside.alias("inside")).toArrow())
+    shared = sent.sparkSession.sparkContext.broadcast(top)
+
+    def costed(group: pa.Table) -> pa.Table:
+        part, (runs, counts) = group["part"][0].as_py(), _gathered(group)
+        costs = _costs(part, runs, counts, shared.value, depth).astype("<f4")
+        own = [costs[np.searchsorted(runs, np.cumsum(_unpack(x)))].tobytes() for x in group["runs"].to_pylist()]
+        return pa.table({"chunk": group["chunk"], "part": group["part"], "costs": pa.array(own, pa.binary())})
+
+    return sent.groupBy("part").applyInArrow(costed, "chunk int, part int, costs binary")
+
+
+def run_scores(column: pa.Array, runs: np.ndarray, costs: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of each text, its end included, from the costs of all its runs."""
+    out = np.zeros(len(column))
+    for a, b, stream, ends in _streams(column, depth):
+        own = _runs(stream, _coded(stream, ends, depth), depth)
+        order = np.argsort(own)
+        each = np.empty(len(own))
+        each[order] = costs[np.searchsorted(runs, own[order])]
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        stops = np.cumsum(np.diff(np.concatenate([[0], ends])) - depth)
+        out[a:b] = np.diff(np.concatenate([[0.0], total[stops]]))
+    return out
+
+
 def _dictionary(column: pa.Array, learns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word hashes of the texts, and how often each occurs in those that ``learns`` marks."""
     words, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
@@ -227,12 +393,13 @@ def _dictionary(column: pa.Array, learns: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(at, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def score(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with scores learnt from rows whose crc32(doc_id as text) mod ``folds`` isn't ``fold``.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
     unigrams over words and one end per text), score (log10 probability under
     the context trees of the lower-cased bytes and one end) and bits_per_byte.
+    All contexts of 0 to ``depth`` (2 to 5) bytes are kept, or the ``nodes`` commonest.
     Defined cases: null text counts as empty (one token, the end); a null doc_id
     is learnt from and not held out; repeated rows each count; an empty table
     gives an empty result; without a training row, counts are 0 and the trees
@@ -248,8 +415,7 @@ def score(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15, folds: int = 7,
     learns = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold, F.lit(True))
     chunks = max(32, -(-text_bytes(docs, "text") // CHUNK_BYTES))
     docs = docs.withColumn("learns", learns)
-    table, child = train(docs.where("learns"), depth, nodes)
-    model = spark.sparkContext.broadcast((table, child))
+    model = spark.sparkContext.broadcast(train(docs.where("learns"), depth, nodes)) if nodes else None
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
 
     def words(group: pa.Table) -> pa.Table:
@@ -257,17 +423,28 @@ def score(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15, folds: int = 7,
         learnt = group["learns"].to_numpy().astype(bool)
         keys, counts = _dictionary(text, learnt)
         chunk = np.full(len(keys), group["chunk"][0].as_py(), np.int32)
-        return pa.table({"chunk": chunk, "word": keys.view(np.int64), "n": counts})
-
-    sent = stored(dealt.groupBy("chunk").applyInArrow(words, "chunk int, word long, n long"), "words")
+        parts = [] if nodes else list(_sent(*run_counts(text, learnt, depth), depth))
+        kinds = pa.int32(), pa.binary(), pa.binary()
+        some = pa.table({"chunk": chunk, "word": keys.view(np.int64), "n": counts})
+        other = pa.table({"chunk": np.full(len(parts), group["chunk"][0].as_py(), np.int32)} | {name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate(zip(("part", "runs", "counts"), kinds, strict=True))})
+        return pa.concat_tables([some, other], promote_options="default").select(["chunk", "word", "n", "part", "runs", "counts"])
+
+    both = stored(dealt.groupBy("chunk").applyInArrow(words, "chunk int, word long, n long, part int, runs binary, counts binary"), "words")
+    sent = both.where("part is null").select("chunk", "word", "n")
     totals = sent.groupBy("word").agg(F.sum("n").alias("n"))
     known = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count_if(F.col("n") > 0).alias("kinds")).first()
     texts = docs.where("learns").count()
     train_tokens, kinds = int(known["words"]) + texts, int(known["kinds"]) + bool(texts)
     scale = float(np.log10(train_tokens + kinds + 1))
     back = sent.join(totals.withColumnRenamed("n", "c").hint("merge"), "word").select("chunk", "word", "c")
+    costs = run_costs(both.where("part is not null").select("chunk", "part", "runs", "counts"), depth) if not nodes else spark.createDataFrame([], "chunk int, part int, costs binary")
+    back = back.unionByName(costs, allowMissingColumns=True)
 
     def look_up(group: pa.Table, counted: pa.Table) -> pa.Table:
+        is_word = pc.is_null(counted["part"])
+        of_runs = counted.select(["part", "costs"]).filter(pc.invert(is_word)).sort_by("part")
+        costs = np.frombuffer(b"".join(of_runs["costs"].to_pylist()), "<f4")
+        counted = counted.select(["word", "c"]).filter(is_word)
         keys = counted["word"].to_numpy().view(U64)
         order = np.argsort(keys)
         keys, counts = keys[order], counted["c"].to_numpy()[order]
@@ -283,7 +460,10 @@ def score(docs: DataFrame, depth: int = 5, nodes: int = 1 << 15, folds: int = 7,
             tokens[a:b] = np.diff(bounds) + 1
             hits[a:b] = np.diff(found[bounds]) + (texts > 0)
             base[a:b] = np.diff(sums[bounds]) + np.log10(texts + 1.0) - tokens[a:b] * scale
-        scores = code_lengths(column, *model.value, depth)
+        if model:
+            scores = code_lengths(column, *model.value, depth)
+        else:
+            scores = run_scores(column, run_counts(column, np.zeros(len(column), bool), depth)[0], costs, depth)
         return pa.table({
             "doc_id": group["doc_id"], "held_out": pa.array(~group["learns"].to_numpy().astype(bool)), "n_tokens": tokens, "n_known": hits,
             "train_tokens": np.full(len(column), train_tokens), "base_score": base, "score": scores, "bits_per_byte": scores * -np.log2(10) / (np.diff(offsets) + 1),

@@ -70,6 +70,14 @@ def test_context_tree(spark, odd, empty):
     assert context_tree.score(empty).count() == 0
 
 
+def test_context_tree_keeps_every_context(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst ", k=600)) for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(texts * 2), (90, None), (91, "unseen é")], "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in context_tree.score(df, nodes=1 << 20).collect()}  # more than there are
+    assert {r["doc_id"]: r["score"] for r in context_tree.score(df).collect()} == pytest.approx(whole, rel=1e-4)
+
+
 def test_weights_sum_to_one():
     rng = np.random.default_rng(1)
     counts = np.zeros((3, 256), np.int64)
