@@ -199,6 +199,16 @@ def test_chroma(spark):
     assert sum((rep[q], rep[m]) in got for q, m in true) >= 0.9 * len(true) and any(r["frame_offset"] == 2 for r in got.values())
 
 
+def test_chroma_noisy_bytes(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 1 << 32, (20, 40), dtype=np.uint32)
+    # One byte of each frame is wrong in 4 bits: a bit error of exactly 0.125 without one whole integer in common.
+    wrong = values ^ (np.uint32(0x55) << (8 * rng.integers(0, 4, values.shape)).astype(np.uint32))
+    rows = [(50 * i, values[i].tobytes()) for i in range(20)] + [(50 * i + 1, wrong[i].tobytes()) for i in range(20)]
+    got = {(r["query_id"], r["match_id"]): (r["hits"], r["bit_error"]) for r in chroma.search(spark.createDataFrame(rows, "id long, print binary")).collect()}
+    assert all(got.get((50 * i, 50 * i + 1)) == (40, 0.125) and got.get((50 * i, 50 * i)) == (40, 0.0) for i in range(20))
+
+
 def test_licenses(spark, odd, empty):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, version 2.0"), (3, "a license to dream of warm seas"), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_blocks"], r["licenses"]) for r in licenses.scan(df).collect()}
