@@ -209,6 +209,16 @@ def test_chroma_noisy_bytes(spark):
     assert all(got.get((50 * i, 50 * i + 1)) == (40, 0.125) and got.get((50 * i, 50 * i)) == (40, 0.0) for i in range(20))
 
 
+def test_chroma_second_refrain(spark):
+    rng = np.random.default_rng(7)
+    verse, refrain, last = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (30, 80, 60))
+    song = np.concatenate([verse, refrain, rng.integers(0, 1 << 32, 90, dtype=np.uint32), refrain, last])
+    clip = np.concatenate([refrain, last])
+    df = spark.createDataFrame([(0, clip.tobytes()), (1, song.tobytes())], "id long, print binary")
+    got = {r["match_id"]: (r["frame_offset"], r["hits"]) for r in chroma.search(df).collect()}
+    assert got == {0: (0, 140), 1: (-200, 140)}
+
+
 def test_licenses(spark, odd, empty):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, version 2.0"), (3, "a license to dream of warm seas"), (4, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_blocks"], r["licenses"]) for r in licenses.scan(df).collect()}
