@@ -1,17 +1,23 @@
 """Line deduplication with a segment-partition edit join, in DataFrame operations only.
 
-Two lines within ``edits`` character edits share at least one of edits + 1
-segments of the shorter one, at nearly the same place. Every distinct line puts
-its own segments into an index, under (length, segment number, hash of the
-segment's text); it probes the index of each length from its own down to
-``edits`` less with the few of its substrings that can match there. Lines that
-meet are verified with a banded bit-parallel edit distance, after what they share
-at either end is cut down, which leaves the distance as it is.
-
-A key that many lines share (a form letter's half, say) would bring all pairs
-together. Lines under such a key are dealt again, by all of the line but one
-small stretch: lines one edit apart agree outside the stretch that the edit is
-in. Texts move only for lines and documents that a bitmap of fixed size names.
+A line is a sequence of symbols: its words (what single spaces part) if it has
+``words_per_edit`` of them, else its characters. The threshold grows with the
+shorter line, one edit for each ``words_per_edit`` words or ``chars_per_edit``
+characters, up to ``most_edits``; an edit inserts, drops or replaces a symbol. Two
+lines of one kind within the threshold t share one of t + 1 even segments of the
+shorter one, at nearly the same place. Every distinct line puts its own segments
+into an index, under (length, segment number, hash of the segment); it probes the
+index of each length from its own down to t less with the few of its stretches
+that can match there. Lines that meet are verified with a banded bit-parallel edit
+distance on the symbols themselves.
+
+A line goes if any earlier line is near, so a key that many lines share (a form
+letter's half, say) need not bring all pairs together: all its lines meet the
+earliest of them, and only those that this leaves without an earlier near line are
+dealt again, by all of the line but as many small stretches as there may be edits.
+There the same is done once more; lines of up to STRETCHES symbols that agree so
+far differ in no more symbols than allowed. Texts move only for lines and
+documents that a bitmap of fixed size names.
 """
 
 from __future__ import annotations
@@ -21,48 +27,71 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import release, stored
 
-#: Lines under one key from which they are dealt again, stretches of a line then, and bits of the bitmaps (8 MB).
-MANY, STRETCHES, BITS = 32, 32, 1 << 26
+#: Lines under one key from which only the earliest meets them all, bits of the bitmaps (8 MB), and stretches of a line by edits.
+MANY, BITS, STRETCHES = 32, 1 << 26, {1: 32, 2: 16}
 _TRIMMED = "trim(BOTH ' \t\r' FROM raw)"
 
 
-def _segments(length: str, edits: int) -> list[tuple[str, str]]:
-    """SQL for (start, size) of the even segments of a line of ``length``; starts count from 1."""
-    at = [f"(({length}) * {i} div {edits + 1})" for i in range(edits + 2)]
-    return [(f"(int({at[i]}) + 1)", f"int({at[i + 1]} - {at[i]})") for i in range(edits + 1)]
+def _even(length: str, i: str, parts: str) -> str:
+    """SQL for where the i-th of so many even parts of ``length`` symbols starts, from 0."""
+    return f"int(bigint({length}) * ({i}) div ({parts}))"
 
 
-def index_keys(edits: int) -> list[str]:
-    """SQL for the keys of a line's own segments."""
-    return [f"xxhash64(length(line), {i}, substring(line, {start}, {size}))" for i, (start, size) in enumerate(_segments("length(line)", edits))]
+def _allowed(length: str, most: int, per_word: int, per_char: int) -> str:
+    """SQL for the edits that a line of ``length`` symbols allows."""
+    return f"least({most}, int(({length}) div if(by_word, {per_word}, {per_char})))"
 
 
-def probe_keys(edits: int) -> list[str]:
-    """SQL for the other keys under which a line no longer and within the edits can stand.
+def _specs(rows: list[tuple], names: str) -> F.Column:
+    """A literal array of structs of integers."""
+    return F.array(*[F.struct(*[F.lit(int(v)).alias(n) for v, n in zip(row, names.split(), strict=True)]) for row in rows])
 
-    What a line shorter by ``less`` has as segment i may start up to i places
-    (edits spent before it) around the segment's start here, and up to edits - i
-    places around it as counted from the end.
+
+def segment_specs(most: int) -> list[tuple[int, int, int, int]]:
+    """(edits, less, segment, shift): the stretches of a line that can be a segment of a line shorter by ``less``.
+
+    What that line has as segment i may start up to i places (edits spent before
+    it) around the segment's start here, and up to edits - i places around it as
+    counted from the end. less = shift = 0 are the line's own segments.
     """
-    out = []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(_segments(f"length(line) - {less}", edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:
-                    out.append(f"xxhash64(length(line) - {less}, {i}, substring(line, {start} + {shift}, {size}))")
+    return [(t, less, i, shift) for t in range(1, most + 1) for less in range(t + 1) for i in range(t + 1) for shift in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1)]
+
+
+def mask_specs(most: int) -> list[tuple[int, int, int, int, int]]:
+    """(edits, less, j, k, shift): a line but its stretches j and k, as a line shorter by ``less`` has them.
+
+    With two edits in different stretches the part between these moves by
+    ``shift``; edits in one stretch are found where the two are neighbours.
+    """
+    out = [(1, less, j, j, 0) for less in (0, 1) for j in range(STRETCHES[1])]
+    if most > 1:
+        two = [(j, k) for j in range(STRETCHES[2]) for k in range(j + 1, STRETCHES[2])]
+        out += [(2, less, j, k, shift) for less in (0, 1, 2) for j, k in two for shift in ((0,) if k == j + 1 else (-1, 0, 1)) if k == j + 1 or -1 <= less - shift <= 1]
     return out
 
 
-def _shared(a: str, b: str) -> str:
-    """SQL: how many characters two texts share at their start, by halving."""
-    mid = "int((bigint(s.lo) + s.hi + 1) div 2)"
-    first = f"named_struct('lo', 0, 'hi', least(length({a}), length({b})))"
-    step = f"if(s.lo >= s.hi, s, if(left({a}, {mid}) = left({b}, {mid}), named_struct('lo', {mid}, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {mid} - 1)))"
-    return f"aggregate(sequence(1, 1 + int(ceil(log2(2 + least(length({a}), length({b})))))), {first}, (s, x) -> {step}, s -> s.lo)"
+def _keyed(lines: DataFrame, specs: F.Column, key: str, allowed) -> DataFrame:
+    """(id, key, own): each line's keys under the specs whose edits the shorter length allows."""
+    fits = F.expr(f"filter(__specs, s -> s.less < n and s.edits = {allowed('n - s.less')})")
+    rows = lines.withColumn("__specs", specs).select("id", "h", "n", "by_word", F.explode(fits).alias("s"))
+    return rows.select("id", F.expr(key).alias("key"), F.expr("s.less = 0 and s.shift = 0").alias("own"))
+
+
+_SEGMENT_KEY = (
+    f"xxhash64(by_word, n - s.less, s.segment, slice(h, {_even('n - s.less', 's.segment', 's.edits + 1')} + 1 + s.shift, "
+    f"{_even('n - s.less', 's.segment + 1', 's.edits + 1')} - {_even('n - s.less', 's.segment', 's.edits + 1')}))"
+)
+
+
+def _mask_key() -> str:
+    parts = f"if(s.edits = 1, {STRETCHES[1]}, {STRETCHES[2]})"
+    at = lambda i: _even("n - s.less", i, parts)
+    middle = f"slice(h, {at('s.j + 1')} + 1 + s.shift, greatest(0, {at('s.k')} - {at('s.j + 1')}))"
+    return f"xxhash64(by_word, n - s.less, s.edits, s.j, s.k, slice(h, 1, {at('s.j')}), {middle}, slice(h, {at('s.k + 1')} + s.less + 1, n - s.less - {at('s.k + 1')}))"
 
 
 def _banded(a: str, b: str, edits: int) -> str:
-    """SQL: edit distance of character arrays, exact up to ``edits``; ``a`` has at least ``edits`` characters and no more than ``b``.
+    """SQL: edit distance of arrays, exact up to ``edits``; ``a`` has at least ``edits`` symbols and no more than ``b``.
 
     One word holds the band of 2 * edits + 1 diagonals: at column i, bit k stands
     for row i - edits + k. The cost runs down the band's lower edge to the last
@@ -80,114 +109,154 @@ def _banded(a: str, b: str, edits: int) -> str:
     return f"aggregate(sequence(0, size({b}) - 1), {zero}, (s, i) -> {step}, s -> s.cost)"
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs whose lines ta and tb, ta no longer and both of more than 2 * edits + 2 characters, are within the edits."""
-    keep = edits + 1  # shared characters that stay, so that what is compared is longer than the edits
-    ends = _bound("p", f"greatest(0, {_shared('ta', 'tb')} - {keep})", "named_struct('a', reverse(substring(ta, p + 1)), 'b', reverse(substring(tb, p + 1)))")
-    inner = _bound("q", f"greatest(0, least({_shared('r.a', 'r.b')}, length(r.a) - {keep}) - {keep})", "named_struct('a', split(substring(r.a, q + 1), ''), 'b', split(substring(r.b, q + 1), ''))")
-    cost = _bound("r", ends, _bound("c", inner, _banded("c.a", "c.b", edits)))
-    return pairs.where(f"length(tb) - length(ta) <= {edits}").where(F.expr(cost) <= edits).drop("ta", "tb")
-
-
-def _bound(name: str, value: str, body: str) -> str:
-    """SQL for ``body`` with ``name`` standing for ``value``, computed once whatever the optimizer moves."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+def verified(pairs: DataFrame, edits: str, most: int) -> DataFrame:
+    """The pairs whose symbols sa and sb, sa no longer and of more than ``most``, are within ``edits`` (SQL, 1 to most)."""
+    near = " ".join(f"when {t} then size(sb) - size(sa) <= {t} and {_banded('sa', 'sb', t)} <= {t}" for t in range(1, most + 1))
+    return pairs.where(F.expr(f"case {edits} {near} else false end"))
 
 
 def _named(ids: DataFrame, key: str) -> DataFrame:
     """A bitmap of the longs in ``key``: at most BITS / 32768 rows of 4 KB, whatever the input."""
     bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
 
 
 def _marked(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """``df`` with column ``named``: false for rows whose ``key`` is surely none of the bitmap's."""
+    """``df`` with column ``__named``: false for rows whose ``key`` is surely none of the bitmap's."""
     bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    out = df.withColumns({"__bit": F.bitmap_bit_position(bit), "bucket": F.bitmap_bucket_number(bit)}).join(F.broadcast(bitmap), "bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(bits, int(__bit div 8) + 1, 1)")), 16, 10).cast("int")
-    return out.withColumn("named", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0, F.lit(False))).drop("bucket", "bits", "__bit")
-
-
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    out = docs.select("doc", F.explode(F.split("text", "\n")).alias("raw")).select("doc", F.expr(_TRIMMED).alias("line"))
-    return out.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
-
-
-def _candidates(docs: DataFrame, known: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Pairs (ia, ib) of distinct lines, the first no longer, that share a key."""
-    own, probes = [f"o{i}" for i in range(edits + 1)], [f"p{i}" for i in range(len(probe_keys(edits)))]
-    index = known.select("id", F.explode(F.array(*own)).alias("key"))
-    probe = known.select("id", F.explode(F.array(*own, *probes)).alias("key"))
-    many = stored(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"), "many")
-    few = index.join(many, "key", "left_anti")
-    differ = F.col("ia") != F.col("ib")
-    pairs = few.withColumnRenamed("id", "ia").join(probe.withColumnRenamed("id", "ib"), "key").where(differ).select("ia", "ib")
-    if edits == 1:
-        # Under a common key: all of the line but the stretch that holds the edit.
-        wanted = _named(probe.join(many, "key", "left_semi"), "id")
-        texts = _marked(_lines(docs, min_chars), "id", wanted).where("named").dropDuplicates(["id"]).select("id", "line")
-        cuts = texts.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("less"))
-        cuts = cuts.select("id", "line", "less", F.expr("length(line) - less").alias("base"), F.explode(F.sequence(F.lit(0), F.lit(STRETCHES - 1))).alias("j"))
-        lo, hi = F.expr(f"int(bigint(base) * j div {STRETCHES})"), F.expr(f"int(bigint(base) * (j + 1) div {STRETCHES})")
-        cuts = cuts.withColumns({"lo": lo, "hi": hi}).select("id", "less", F.expr("xxhash64(base, j, left(line, lo), right(line, base - hi))").alias("key"))
-        stands = cuts.where("less = 0").select(F.col("id").alias("ia"), "key")
-        pairs = pairs.unionByName(stands.join(cuts.select(F.col("id").alias("ib"), "key"), "key").where(differ).select("ia", "ib"))
-    else:
-        heavy = index.join(many, "key", "left_semi").withColumnRenamed("id", "ia")
-        pairs = pairs.unionByName(heavy.join(probe.withColumnRenamed("id", "ib"), "key").where(differ).select("ia", "ib"))
-    return pairs.distinct()
-
-
-def repeated(docs: DataFrame, edits: int = 1, min_chars: int = 24) -> DataFrame:
-    """(doc, ids, near) for ``docs(doc, text)``: ids of each document's lines that stand earlier elsewhere, near how many of them as near copies only.
-
-    A line is its text without spaces, tabs and carriage returns around it; its
-    id is a 64-bit hash. Lines of less than ``min_chars`` characters take no part.
+    out = df.withColumns({"__bit": F.bitmap_bit_position(bit), "__bucket": F.bitmap_bucket_number(bit)}).join(F.broadcast(bitmap), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, int(__bit div 8) + 1, 1)")), 16, 10).cast("int")
+    return out.withColumn("__named", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0, F.lit(False))).drop("__bucket", "__bits", "__bit")
+
+
+class _Join:
+    """The near join over ``lines(place, id, check, line)`` of one call."""
+
+    def __init__(self, lines: DataFrame, most: int, per_word: int, per_char: int) -> None:
+        self.lines, self.most = lines, most
+        self.allowed = lambda n: _allowed(n, most, per_word, per_char)
+        words = "split(line, ' ')"
+        self.symbols = f"if(size({words}) >= {per_word}, {words}, split(line, ''))"
+        self.by_word = f"size({words}) >= {per_word}"
+
+    def hashed(self, lines: DataFrame) -> DataFrame:
+        """(id, by_word, n, h): hashes of each line's symbols, for lines that allow an edit."""
+        out = lines.select("id", F.expr(self.by_word).alias("by_word"), F.expr(f"transform({self.symbols}, x -> xxhash64(x))").alias("h"))
+        return out.withColumn("n", F.size("h")).where(F.expr(self.allowed("n")) > 0)
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, place, line): the earliest place and the text of the lines in ``ids``, and surely some others."""
+        return _marked(self.lines, "id", _named(ids, "id")).where("__named").groupBy("id").agg(F.min("place").alias("place"), F.first("line").alias("line"))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """(id) of the later line of each pair (ia, ib) that is within the edits; ia is no longer than ib."""
+        met = stored(pairs.distinct(), "met")
+        texts = stored(self.texts(met.select(F.explode(F.array("ia", "ib")).alias("id"))).select("id", "place", F.expr(self.symbols).alias("s"), F.expr(self.by_word).alias("by_word")), "texts")
+        a, b = (texts.select(F.col("id").alias(f"i{x}"), F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"), F.col("by_word").alias(f"w{x}")) for x in "ab")
+        both = met.join(a, "ia").join(b, "ib").where("wa = wb").withColumnRenamed("wa", "by_word")
+        later = F.when(F.struct("pa", "ia") > F.struct("pb", "ib"), F.col("ia")).otherwise(F.col("ib"))
+        out = stored(verified(both, self.allowed("size(sa)"), self.most).select(later.alias("id")).distinct(), "near")
+        release(met, texts)
+        return out
+
+    def meet(self, keyed: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pairs, heavy) of a stored table (id, key, own): all pairs under light keys, each line with the earliest under heavy ones.
+
+        heavy has the rows of heavy keys but the earliest, which has met all. With
+        ``wanted`` (id), only pairs under light keys that hold one of these ids are made.
+        """
+        own = keyed.where("own").select("id", "key")
+        many = stored(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"), "many")
+        heavy = keyed.join(many, "key", "left_semi")
+        light = own.join(many, "key", "left_anti").withColumnRenamed("id", "ia").join(keyed.withColumnRenamed("id", "ib"), "key")
+        light = light.where("if(own, ia < ib, ia <> ib)").select("ia", "ib")
+        if wanted is not None:
+            some = wanted.select("id").distinct().withColumn("w", F.lit(True))
+            light = light.join(some.withColumnsRenamed({"id": "ia", "w": "wa"}), "ia", "left").join(some.withColumnsRenamed({"id": "ib", "w": "wb"}), "ib", "left").where("wa or wb").select("ia", "ib")
+        if many.isEmpty():
+            return light, heavy
+        heavy = stored(heavy, "heavy")
+        places = self.texts(heavy).select("id", "place")
+        first = heavy.where("own").join(places, "id").groupBy("key").agg(F.min(F.struct("place", "id")).alias("f")).select("key", F.col("f.id").alias("ia"))
+        stars = stored(heavy.join(first, "key").where("ia <> id"), "stars")
+        release(heavy)
+        return light.unionByName(stars.select("ia", F.col("id").alias("ib"))), stars.select("id", "key", "own")
+
+    def found(self) -> DataFrame:
+        """(id) of lines with an earlier near line."""
+        specs = segment_specs(self.most)
+        names = "edits less segment shift"
+        own = _keyed(self.hashed(self.lines), _specs([s for s in specs if s[1] == s[3] == 0], names), _SEGMENT_KEY, self.allowed)
+        own = stored(own.distinct(), "own")
+        probes = _keyed(self.hashed(self.lines), _specs([s for s in specs if s[1] or s[3]], names), _SEGMENT_KEY, self.allowed)
+        probes = _marked(probes, "key", _named(own, "key")).where("__named").drop("__named").distinct()
+        keyed = stored(own.unionByName(probes), "keys")
+        pairs, heavy = self.meet(keyed)
+        near = self.near(pairs)
+        parts = [near]
+        rest = stored(heavy.join(near, "id", "left_anti"), "rest")
+        if not rest.isEmpty():
+            around = stored(heavy.join(rest.select("key").distinct(), "key", "left_semi").select("id").distinct(), "around")
+            texts = self.texts(around).join(around, "id", "left_semi").select("id", "line")
+            masks = stored(_keyed(self.hashed(texts), _specs(mask_specs(self.most), "edits less j k shift"), _mask_key(), self.allowed), "masks")
+            pairs, heavy = self.meet(masks, rest)
+            parts.append(self.near(pairs))
+            left = stored(heavy.join(rest, "id", "left_semi").join(parts[1], "id", "left_anti"), "left")
+            if not left.isEmpty():
+                a, b = heavy.withColumnRenamed("id", "ia"), left.withColumnRenamed("id", "ib")
+                pairs = a.where("own").select("ia", "key").join(b.select("ib", "key"), "key").unionByName(left.where("own").select(F.col("id").alias("ia"), "key").join(heavy.select(F.col("id").alias("ib"), "key"), "key"))
+                parts.append(self.near(pairs.where("ia <> ib").select("ia", "ib")))
+            release(masks, around, left)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = stored(out.distinct(), "near")
+        release(own, keyed, rest, *parts)
+        return out
+
+
+def repeated(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10, chars_per_edit: int = 24) -> DataFrame:
+    """(doc, own, gone, near) for ``docs(doc, own, text)``: places (from 0) of each document's lines that repeat an earlier line.
+
+    A line is its text without spaces, tabs and carriage returns around it; equal
+    lines are known by two 64-bit hashes. Blank lines take no part. near counts
+    the places whose line repeats no equal one, but a near one.
     """
-    lines = _lines(docs, min_chars)
-    keys = {f"o{i}": F.expr(k) for i, k in enumerate(index_keys(edits))} | {f"p{i}": F.expr(k) for i, k in enumerate(probe_keys(edits))}
-    keyed = lines.select("doc", "id", *(k.alias(name) for name, k in keys.items()))
-    known = stored(keyed.groupBy("id").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in keys)), "lines")
-    met = stored(_candidates(docs, known, edits, min_chars), "met")
-    both = met.select(F.explode(F.array("ia", "ib")).alias("id"))
-    texts = _marked(lines, "id", _named(both, "id")).where("named").groupBy("id").agg(F.min("doc").alias("doc"), F.first("line").alias("line"))
-    texts = stored(texts, "texts")
-    a, b = (texts.select(F.col("id").alias(f"i{x}"), F.col("doc").alias(f"d{x}"), F.col("line").alias(f"t{x}")) for x in "ab")
-    near = verified(met.join(a, "ia").join(b, "ib"), edits)
-    later = F.when(F.struct("da", "ia") > F.struct("db", "ib"), F.col("ia")).otherwise(F.col("ib"))
-    near = stored(near.select(later.alias("id")).distinct(), "near")
-    release(met, texts)
-    info = known.join(near.withColumn("near", F.lit(True)), "id", "left").where("n > 1 or near").select("id", F.col("doc").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc", "id").join(info, "id").where("near or doc > first")
-    return gone.groupBy("doc").agg(F.collect_set("id").alias("ids"), F.count_if("near").alias("near"))
-
-
-def dedup_lines(docs: DataFrame, edits: int = 1, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` freed of lines that repeat, exactly or within ``edits``, a line that stands earlier.
+    lines = docs.select("doc", "own", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select(F.struct("doc", "own", "pos").alias("place"), F.expr(_TRIMMED).alias("line"))
+    lines = lines.where("line <> ''").select("place", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("check"), "line")
+    near = _Join(lines, most_edits, words_per_edit, chars_per_edit).found().withColumn("near", F.lit(True))
+    known = lines.groupBy("id", "check").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    info = stored(known.join(near, "id", "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")), "info")
+    some = _marked(lines.select("place", "id", "check"), "id", _named(info, "id")).where("__named").drop("__named")
+    gone = some.join(info, ["id", "check"]).where("near or place > first")
+    return gone.groupBy("place.doc", "place.own").agg(F.array_sort(F.collect_list("place.pos")).alias("gone"), F.count_if(F.col("place") == F.col("first")).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10, chars_per_edit: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` freed of lines that repeat, exactly or within the edits that their length allows, an earlier line.
 
     Adds n_lines, n_removed and n_near (removed lines that are near copies only;
-    replaces columns of these names). Lines end at \\n; the first of several equal
-    lines stays, by doc_id, then by place in the text; so does the first of two
-    near ones, by doc_id, then by hash. Defined cases: null text stays null, with 0
-    lines; short lines (see ``repeated``) always stay; rows that share a doc_id
-    keep what the first place of a line is in either; null doc_ids come last;
-    blank lines and line ends of what stays are kept; an empty table gives an
-    empty result; texts and lines of any length are treated whole.
+    replaces columns of these names). Lines end at \\n; earlier is by doc_id, then
+    by a hash of the text, then by place; a line goes if any earlier line is
+    near, whether that stays or not. Defined cases: null text stays null, with 0
+    lines; lines too short for an edit go as exact repeats only; rows with equal
+    doc_id and text are one document and are treated alike; null doc_ids come
+    last; blank lines and line ends of what stays are kept; an empty table gives
+    an empty result; texts and lines of any length are treated whole.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near", "near", "ids", "named", "bucket", "bits")]
-    base = docs.select(*[docs[f"`{c}`"] for c in columns], F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("__doc"))
-    gone = stored(repeated(base.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text")), edits, min_chars), "gone")
+    added = ("n_lines", "n_removed", "n_near")
+    columns = [c for c in docs.columns if c not in added]
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(*[docs[f"`{c}`"] for c in columns], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit((1 << 63) - 1)).alias("__doc"))
+    base = base.withColumn("__own", F.xxhash64(text))
+    gone = stored(repeated(base.select(F.col("__doc").alias("doc"), F.col("__own").alias("own"), text.alias("text")), most_edits, words_per_edit, chars_per_edit), "gone")
     marked = _marked(base, "__doc", _named(gone, "doc"))
-    hit = marked.where("named").join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    rest = marked.where("not named").withColumns({"ids": F.lit(None).cast("array<bigint>"), "near": F.lit(0).cast("long")})
-    out = hit.unionByName(rest).withColumns({"__ids": F.coalesce("ids", F.expr("cast(array() as array<bigint>)")), "__raw": F.split(text_col, "\n")})
-    trimmed = _TRIMMED.replace("raw", "x")
-    keys = f"transform(raw, x -> if(length({trimmed}) >= {min_chars}, xxhash64({trimmed}), null))"
-    stays = "get(keys, i) is null or (not array_contains(ids, get(keys, i)) and array_position(keys, get(keys, i)) = i + 1)"
-    alone = "size(ids) = 0 and size(array_compact(keys)) = size(array_distinct(array_compact(keys)))"
-    kept = _bound("raw", "__raw", _bound("ids", "__ids", _bound("keys", keys, f"if({alone}, raw, filter(raw, (x, i) -> {stays}))")))
-    out = out.withColumn("__kept", F.expr(kept))
-    size = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__raw")), F.lit(0)).cast("long")
-    left = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__kept")), F.lit(0)).cast("long")
-    kept = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
-    return out.select(*kept, size.alias("n_lines"), (size - left).alias("n_removed"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near"))
+    hit = marked.where("__named").join(gone.withColumnsRenamed({"doc": "__doc", "own": "__own", "gone": "__at", "near": "__near"}), ["__doc", "__own"], "left")
+    rest = marked.where("not __named").withColumns({"__at": F.lit(None).cast("array<int>"), "__near": F.lit(0).cast("long")})
+    out = hit.unionByName(rest).withColumns({"__raw": F.split(text, "\n"), "__gone": F.coalesce("__at", F.expr("cast(array() as array<int>)"))})
+    # What stands between the places that go, slice by slice.
+    pieces = "transform(sequence(0, size(__gone)), i -> slice(__raw, if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1) + 1, if(i = size(__gone), size(__raw), __gone[least(i, size(__gone) - 1)]) - if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1)))"
+    kept = F.expr(f"if(size(__gone) = 0, __raw, flatten({pieces}))")
+    size = F.coalesce(F.when(text.isNotNull(), F.size("__raw")), F.lit(0)).cast("long")
+    kept = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+    return out.select(*kept, size.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"))

@@ -114,18 +114,68 @@ def test_banded_distance(spark, edits):
             at = rng.randrange(len(b))
             b[at : at + rng.randint(0, 1)] = rng.choices("abc", k=rng.randint(0, 1))
         a, b = sorted((a, "".join(b)), key=len)
-        if len(a) > 2 * edits + 2:
-            rows.append((a, b, a, b))
-    df = spark.createDataFrame(rows, "a string, b string, ta string, tb string")
-    assert sorted((r["a"], r["b"]) for r in line_dedup.verified(df, edits).collect()) == sorted((a, b) for a, b, *_ in rows if distance(a, b) <= edits)
+        if len(a) > 2:
+            rows.append((a, b, list(a), list(b)))
+    df = spark.createDataFrame(rows, "a string, b string, sa array<string>, sb array<string>")
+    assert sorted((r["a"], r["b"]) for r in line_dedup.verified(df, str(edits), 2).collect()) == sorted((a, b) for a, b, *_ in rows if distance(a, b) <= edits)
+
+
+def repeated_places(rows, most, per_word=10, per_char=24):
+    """(doc, place) of the lines that an earlier line equals or is near to, by comparing all with all."""
+    lines = [(d, p, line.strip(" \t\r")) for d, t in rows for p, line in enumerate(t.split("\n"))]
+    lines = [(d, p, line, len(line.split(" ")) >= per_word) for d, p, line in lines if line]
+    gone = set()
+    for d, p, line, by_word in lines:
+        for d2, p2, other, kind in lines:
+            if (d2, p2) < (d, p) and kind == by_word:
+                a, b = (x.split(" ") if by_word else list(x) for x in (line, other))
+                most_here = min(most, min(len(a), len(b)) // (per_word if by_word else per_char))
+                if line == other or (most_here and abs(len(a) - len(b)) <= most_here and distance(a, b) <= most_here):
+                    gone.add((d, p))
+                    break
+    return gone
+
+
+@pytest.mark.parametrize("most,many", [(1, 32), (2, 32), (2, 3)])
+def test_lines_near_earlier_ones(spark, monkeypatch, most, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rng = random.Random(10 * most + many)
+
+    def edited(symbols):
+        out = list(symbols)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(out))
+            out[at : at + rng.randint(0, 1)] = rng.choices(WORDS, k=rng.randint(0, 1))
+            out = out or ["x"]
+        return out
+
+    base = [rng.choices(WORDS, k=rng.choice([5, 8, 9, 10, 12, 19, 20, 21, 25, 40])) for _ in range(20)]
+    rows = [(d, "\n".join(" ".join(edited(rng.choice(base))) if rng.random() < 0.7 else "".join(edited("short line of text, number 1")) for _ in range(4))) for d in range(40)]
+    letter = "dear customer number {} your order {} was sent on day {} of this month and will come to you by the {} post in {} days as ever"
+    rows += [(d, letter.format(rng.randint(0, 99999), rng.randint(0, 30), rng.randint(1, 28), rng.choice(WORDS), rng.randint(1, 9))) for d in range(40, 110)]
+    rows += [(d, f"order {rng.randint(0, 10**6)} for {rng.choice(WORDS)} was {rng.choice(WORDS)} sent today {rng.randint(0, 50)} by us all") for d in range(110, 180)]
+    df = spark.createDataFrame(rows, "doc long, text string").withColumn("own", F.xxhash64("text"))
+    assert {(r["doc"], p) for r in line_dedup.repeated(df, most).collect() for p in r["gone"]} == repeated_places(rows, most)
+
+
+def test_form_letters_make_few_candidates(spark, monkeypatch):
+    made_pairs, near = [], line_dedup._Join.near
+    monkeypatch.setattr(line_dedup._Join, "near", lambda self, pairs: made_pairs.append(pairs.distinct().count()) or near(self, pairs))
+    for text, gone in (("this is letter number {0} which we send to all of our dear friends in town", 999), ("this is letter number {0} from {1} which we send to all of our dear friends in town", 0)):
+        rows = [(i, text.format(i, i * 7919 % 100003)) for i in range(1000)]
+        df = spark.createDataFrame(rows, "doc long, text string").withColumn("own", F.xxhash64("text"))
+        made_pairs.clear()
+        assert line_dedup.repeated(df, 1).count() == gone and sum(made_pairs) <= 1000
 
 
 def test_line_dedup(spark, odd, empty):
     lines = ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilom", "alpha beta gamma delta epsilon zeta eta", "short"]
-    df = spark.createDataFrame([(1, f"{lines[0]}\n{lines[3]}"), (2, f"{lines[1]}\n{lines[2]}\n{lines[3]}"), (3, f"  {lines[0]}\n{lines[2]}\n{lines[2]}"), (4, None)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()}
-    assert got == {1: (df.first()["text"], 2, 0), 2: (f"{lines[2]}\n{lines[3]}", 3, 1), 3: ("", 3, 3), 4: (None, 0, 0)}
-    assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
+    df = spark.createDataFrame([(1, f"{lines[0]}\n\n{lines[3]}"), (2, f"{lines[1]}\n{lines[2]}\n{lines[3]}"), (3, f"  {lines[0]}\n\n{lines[2]}\n{lines[2]}"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["n_near"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (df.first()["text"], 3, 0, 0), 2: (lines[2], 3, 2, 1), 3: ("", 4, 3, 0), 4: (None, 0, 0, 0)}
+    clash = odd.withColumns({"gone": F.lit("a"), "bits": F.lit("b"), "own": F.lit("c")})
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "n_lines", "n_removed", "n_near"] and out.count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_quality(spark, odd, empty):
