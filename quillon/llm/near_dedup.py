@@ -17,6 +17,10 @@ its sketch is the k smallest hashes. The steps, none of which collects a group:
 5. The Jaccard estimate of the two sketches' union drops poor pairs, and exact
    Jaccard similarity of the full sets confirms links.
 6. Components of the links are the groups.
+
+Texts never move: a bitmap of fixed size names the documents that pairs hold, and
+these send their sets. A value, pivot or document that many rows share is dealt to
+several tasks in every join.
 """
 
 from __future__ import annotations
@@ -31,13 +35,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.llm.components import components
-from quillon.llm.shared import release, stored
+from quillon.llm.shared import marked, named, release, salted_join, stored
 from quillon.llm.textbytes import U64, mix, shingle_sets
 
 _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _LINK = "a long, b long"
-#: Ids that go to every executor at most (8 bytes each); with more, the texts are shuffled to them.
-SENT_IDS = 500_000
 
 
 def sketches(docs: DataFrame, w: int, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,29 +63,40 @@ def sketches(docs: DataFrame, w: int, k: int, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
 
+def _sides(pairs: DataFrame, own: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b), a stored table, with ``column`` of ``own`` (doc_id, column) for both ids as xa and xb."""
+    a, b = (own.select(F.col("doc_id").alias(x), F.col(column).alias(f"x{x}")) for x in "ab")
+    return salted_join(salted_join(pairs, a, "a", "b"), b, "b", "a", pairs)
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule the similarity out."""
-    a = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"))
-    b = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
-    whole = (F.size("sa") < k) & (F.size("sb") < k)  # such sketches are the sets
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    both = F.array_intersect(union, F.array_intersect("sa", "sb"))
-    exact = 100 * F.size(F.array_intersect("sa", "sb")) >= percent * F.size(F.array_union("sa", "sb"))
+    whole = (F.size("xa") < k) & (F.size("xb") < k)  # such sketches are the sets
+    union = F.slice(F.array_sort(F.array_union("xa", "xb")), 1, k)
+    both = F.array_intersect(union, F.array_intersect("xa", "xb"))
+    exact = 100 * F.size(F.array_intersect("xa", "xb")) >= percent * F.size(F.array_union("xa", "xb"))
     likely = F.size(both) >= F.lit(least) * F.size(union)
-    return pairs.join(a, "a").join(b, "b").where(F.when(whole, exact).otherwise(likely)).select("a", "b")
+    return _sides(pairs, reps, "sketch").where(F.when(whole, exact).otherwise(likely)).select("a", "b")
 
 
 def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents, one row each, whose doc_id is in ``ids``, a stored table of distinct ones."""
-    few = ids.count() <= SENT_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """(doc_id, text) of the documents whose doc_id is in ``ids``, and surely some others."""
+    return marked(docs, "doc_id", named(ids, "doc_id")).where("__named").select("doc_id", "text")
+
+
+def _once(df: DataFrame, *order: str) -> DataFrame:
+    """A stored table with one row for each doc_id, the least by ``order``; nothing moves where none repeats."""
+    if df.count() == df.select("doc_id").distinct().count():
+        return df
+    rest = [c for c in df.columns if c != "doc_id" and c not in order]
+    return stored(df.groupBy("doc_id").agg(F.min(F.struct(*order, *rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in (*order, *rest))), "once")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+    """Pairs (a, b) of a stored table whose full sets have 100 * intersection >= percent * union.
 
-    Each set is computed once for each pair side from the text, travels as packed
-    hashes, and meets its partner in a join, so no group of pairs shares a task.
+    Each set is computed where its text is read, travels as packed hashes, and
+    meets its partners in joins, so no group of pairs shares a task.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,22 +108,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, w: int, percent: int) -> DataF
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    own = stored(_of(docs, ids).select("doc_id", "text").mapInArrow(sets, "doc_id long, items binary"), "sets")
-    a = own.select(F.col("doc_id").alias("a"), F.col("items").alias("ia"))
-    b = own.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
-    out = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "ia", "ib").mapInArrow(judge, _LINK), "confirmed")
-    release(own, ids)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    own = _once(stored(_of(docs, ids).mapInArrow(sets, "doc_id long, items binary"), "sets"), "items")
+    out = stored(_sides(pairs, own, "items").select("a", "b", "xa", "xb").mapInArrow(judge, _LINK), "confirmed")
+    release(own)
     return out
 
 
 def _shingle_rows(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
-    """(doc_id, h): every shingle of the documents in ``ids``."""
+    """(doc_id, h): every shingle of the documents in ``ids``, and surely of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +136,7 @@ def _shingle_rows(docs: DataFrame, ids: DataFrame, w: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
 
-    return _of(docs, ids).select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
+    return _of(docs, ids).mapInArrow(run, "doc_id long, h long")
 
 
 def _across(docs: DataFrame, rest: DataFrame, w: int, percent: int) -> DataFrame:
@@ -136,17 +147,18 @@ def _across(docs: DataFrame, rest: DataFrame, w: int, percent: int) -> DataFrame
     overlap that it needs behind them. In a list, only documents outside its
     largest component look for partners.
     """
-    rows = stored(_shingle_rows(docs, rest.select("doc_id"), w), "shingles")
+    wanted = rest.select("doc_id").distinct()
+    rows = stored(_shingle_rows(docs, wanted, w).join(wanted, "doc_id", "left_semi").distinct(), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     own = Window.partitionBy("doc_id")
-    held = rows.join(often, "h").withColumns({"s": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "h"))})
+    held = salted_join(rows, often, "h", "doc_id").withColumns({"s": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "h"))})
     sizes = rest.groupBy("c").agg(F.count("*").alias("size"))
     held = held.join(rest.join(sizes, "c"), "doc_id")
     # What a document has from a place on, its shingles that no other has coming first.
     held = held.withColumn("left", F.col("s") - F.col("at") + 1).where(F.col("left") * 100 >= F.col("n") * percent)
     held = stored(held.select("h", "doc_id", "n", "c", "size", "left"), "prefixes")
     mixed = held.groupBy("h").agg(F.max(F.struct("size", "c")).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", F.col("t.c").alias("main"))
-    x = held.join(mixed, "h").where("c <> main").alias("x")
+    x = salted_join(held, mixed, "h", "doc_id").where("c <> main").alias("x")
     y = held.drop("size").alias("y")
     near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * least(x.left, y.left) >= {percent} * (x.n + y.n)")
     pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & near)
@@ -164,7 +176,8 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     empty set and is linked with nothing; a text with 1 to w-1 words has one
     shingle, the whole sequence; equal sets are linked whatever their number;
     rows that repeat a doc_id are one document if their texts agree, else each
-    row follows its own text and links are confirmed on one of the texts; a null
+    row follows its own text and links are confirmed on the text whose set is
+    least by its hashes; a null
     doc_id takes part in nothing and gives component_id null and kept true. An
     empty table gives an empty result; other columns are ignored.
     """
@@ -173,8 +186,9 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     known = sk.where("n > 0 and doc_id is not null")
     classes = stored(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     first = classes.select(F.col("rep").alias("doc_id"), F.struct("n", "h1", "h2").alias("set"))
-    reps = known.join(first, "doc_id").where(F.col("set") == F.struct("n", "h1", "h2")).dropDuplicates(["doc_id"])
-    reps = stored(reps.select("doc_id", "n", "sketch"), "reps")
+    reps = known.join(first, "doc_id").where(F.col("set") == F.struct("n", "h1", "h2"))
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n", "sketch"), F.struct("h1", "h2")).alias("r")).select("doc_id", "r.n", "r.sketch")
+    reps = stored(reps, "reps")
 
     # The rarest retained values; a value of one class only can't make a pair, but fills a place. Of two sets that fit
     # into their sketches, and whose partners must fit too, the shared values are known; else five deviations below the mean.
@@ -185,7 +199,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     places = size - needed + 1
     values = reps.select("doc_id", "n", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    values = values.join(often, "v")
+    values = salted_join(values, often, "v", "doc_id")
     own = Window.partitionBy("doc_id")
     values = values.withColumns({"shared": F.count("*").over(own), "at": F.row_number().over(own.orderBy("f", "v"))})
     lists = stored(values.where(F.col("at") <= places - (size - F.col("shared"))).select("v", "doc_id", "n", "shared"), "lists")
@@ -195,7 +209,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
 
     sure = max(0.0, percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5)
     top = lists.groupBy("v").agg(F.max(F.struct("shared", (-F.col("doc_id")).alias("p"), "n")).alias("t")).select("v", (-F.col("t.p")).alias("pivot"), F.col("t.n").alias("pn"))
-    near = lists.join(top, "v").where(F.col("doc_id") != F.col("pivot")).where(able("n", "pn"))
+    near = salted_join(lists, top, "v", "doc_id").where(F.col("doc_id") != F.col("pivot")).where(able("n", "pn"))
     tried = stored(near.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "tried")
     links = _confirmed(stored(_estimated(tried, reps, k, sure, percent), "pairs"), docs, w, percent)
 
@@ -203,7 +217,7 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, k: int = 64,
     group = stored(components(links), "groups")
     placed = lists.join(group, lists.doc_id == group.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("v")
-    rest = stored(placed.join(mixed, "v").select("doc_id", "n", "c").distinct(), "rest")
+    rest = stored(salted_join(placed, mixed, "v", "doc_id", lists).select("doc_id", "n", "c").distinct(), "rest")
     across = _across(docs, rest, w, percent)
     untried = across.join(tried, ["a", "b"], "left_anti")
     more = _confirmed(stored(_estimated(untried, reps, k, sure, percent), "pairs"), docs, w, percent)

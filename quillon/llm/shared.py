@@ -1,7 +1,7 @@
 """Tables and checkpoints in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder. Where it is unset, as in local
-tests, a temporary one is made for this process. Intermediate tables are
+``spark.checkpoint.dir`` names that folder. Where it is unset and Spark runs in
+this process alone, as in local tests, a temporary one is made. Intermediate tables are
 Parquet, so a lost executor costs only the tasks that it ran, and they are
 removed when the driver's interpreter ends or when ``release`` is called.
 """
@@ -12,17 +12,22 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bits of a bitmap (8 MB), and parts of a table of which a key may hold more than one until it is dealt to several tasks.
+BITS, PARTS, LEAST = 1 << 26, 1024, 1000
 _made: dict[str, SparkSession] = {}
 _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's, else a temporary one of this process."""
+    """The shared folder: the session's, else, on a local master, a temporary one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
     return _local[0]
@@ -64,6 +69,36 @@ def _clean() -> None:
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of all texts: one column-pruned aggregate that sizes the work."""
-    from pyspark.sql import functions as F
-
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0])
+
+
+def named(ids: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the longs in ``key``: at most BITS / 32768 rows of 4 KB, whatever the input."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return ids.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
+
+
+def marked(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """``df`` with column ``__named``: false for rows whose ``key`` is surely none of the bitmap's."""
+    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
+    out = df.withColumns({"__bit": F.bitmap_bit_position(bit), "__bucket": F.bitmap_bucket_number(bit)}).join(F.broadcast(bitmap), "__bucket", "left")
+    byte = F.expr("ascii(decode(substring(__bits, int(__bit div 8) + 1, 1), 'ISO-8859-1'))")
+    return out.withColumn("__named", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0, F.lit(False))).drop("__bucket", "__bits", "__bit")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str | Column, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row for each ``key``.
+
+    A key with more than a PARTS-th of the rows of ``counted`` (``left`` itself if
+    that is cheap to read twice) is dealt to several tasks by a hash of ``spread``,
+    and its row of ``right`` is copied to each: there are fewer than PARTS such
+    keys and no more than twice as many copies.
+    """
+    counted = left if counted is None else counted
+    least = max(LEAST, counted.count() // PARTS)
+    hot = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__salts"))
+    hot = stored(hot, "hot")
+    some = F.coalesce("__salts", F.lit(1))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), some).cast("int")).drop("__salts")
+    right = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), some - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
