@@ -9,7 +9,8 @@ shorter one, at nearly the same place. Every distinct line puts its own segments
 into an index, under (length, segment number, hash of the segment); it probes the
 index of each length from its own down to t less with the few of its stretches
 that can match there. Lines that meet are verified with a banded bit-parallel edit
-distance on the symbols themselves.
+distance, first on 32-bit hashes of the symbols, which stand in a table of the
+lines, then on the symbols themselves.
 
 A line goes if any earlier line is near, so a key that many lines share (a form
 letter's half, say) need not bring all pairs together: all its lines meet the
@@ -25,11 +26,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import release, stored
+from quillon.llm.shared import marked, named, release, salted_join, stored
 
-#: Lines under one key from which only the earliest meets them all, bits of the bitmaps (8 MB), and stretches of a line by edits.
-MANY, BITS, STRETCHES = 32, 1 << 26, {1: 32, 2: 16}
-_TRIMMED = "trim(BOTH ' \t\r' FROM raw)"
+#: Lines under one key from which only the earliest meets them all, and stretches of a line by edits.
+MANY, STRETCHES = 8, {1: 32, 2: 16}
+_TRIMMED = "if(startswith(trim(x), '\t') or startswith(trim(x), '\r') or endswith(trim(x), '\t') or endswith(trim(x), '\r'), trim(BOTH ' \t\r' FROM x), trim(x))"
+
+
+def _ids() -> list[F.Column]:
+    """A line's identity: two 64-bit hashes."""
+    return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("check")]
 
 
 def _even(length: str, i: str, parts: str) -> str:
@@ -71,16 +77,14 @@ def mask_specs(most: int) -> list[tuple[int, int, int, int, int]]:
 
 
 def _keyed(lines: DataFrame, specs: F.Column, key: str, allowed) -> DataFrame:
-    """(id, key, own): each line's keys under the specs whose edits the shorter length allows."""
-    fits = F.expr(f"filter(__specs, s -> s.less < n and s.edits = {allowed('n - s.less')})")
-    rows = lines.withColumn("__specs", specs).select("id", "h", "n", "by_word", F.explode(fits).alias("s"))
+    """(id, key, own): the keys of lines (id, n, by_word and what ``key`` reads) under the specs whose edits the shorter length allows."""
+    rows = lines.withColumn("s", F.explode(specs)).where(F.expr(f"s.less < n and s.edits = {allowed('n - s.less')}"))
     return rows.select("id", F.expr(key).alias("key"), F.expr("s.less = 0 and s.shift = 0").alias("own"))
 
 
-_SEGMENT_KEY = (
-    f"xxhash64(by_word, n - s.less, s.segment, slice(h, {_even('n - s.less', 's.segment', 's.edits + 1')} + 1 + s.shift, "
-    f"{_even('n - s.less', 's.segment + 1', 's.edits + 1')} - {_even('n - s.less', 's.segment', 's.edits + 1')}))"
-)
+def _segment_key() -> str:
+    start, end = (_even("n - s.less", i, "s.edits + 1") for i in ("s.segment", "s.segment + 1"))
+    return f"xxhash64(by_word, n - s.less, s.segment, slice(h, {start} + 1 + s.shift, {end} - {start}))"
 
 
 def _mask_key() -> str:
@@ -111,54 +115,46 @@ def _banded(a: str, b: str, edits: int) -> str:
 
 def verified(pairs: DataFrame, edits: str, most: int) -> DataFrame:
     """The pairs whose symbols sa and sb, sa no longer and of more than ``most``, are within ``edits`` (SQL, 1 to most)."""
-    near = " ".join(f"when {t} then size(sb) - size(sa) <= {t} and {_banded('sa', 'sb', t)} <= {t}" for t in range(1, most + 1))
+    # What one side alone has takes an edit each: a check by sets leaves few pairs to the distance.
+    sets = "size(array_except(sa, sb)) <= {0} and size(array_except(sb, sa)) <= {0}"
+    near = " ".join(f"when {t} then size(sb) - size(sa) <= {t} and {sets.format(t)} and {_banded('sa', 'sb', t)} <= {t}" for t in range(1, most + 1))
     return pairs.where(F.expr(f"case {edits} {near} else false end"))
 
 
-def _named(ids: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the longs in ``key``: at most BITS / 32768 rows of 4 KB, whatever the input."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return ids.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
-
-
-def _marked(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """``df`` with column ``__named``: false for rows whose ``key`` is surely none of the bitmap's."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    out = df.withColumns({"__bit": F.bitmap_bit_position(bit), "__bucket": F.bitmap_bucket_number(bit)}).join(F.broadcast(bitmap), "__bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(__bits, int(__bit div 8) + 1, 1)")), 16, 10).cast("int")
-    return out.withColumn("__named", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(__bit % 8))")) != 0, F.lit(False))).drop("__bucket", "__bits", "__bit")
-
-
 class _Join:
-    """The near join over ``lines(place, id, check, line)`` of one call."""
+    """The near join over ``lines(place, line)`` of one call; ``table`` has (place, id, check, by_word, n, h), h hashes of the n symbols."""
 
     def __init__(self, lines: DataFrame, most: int, per_word: int, per_char: int) -> None:
-        self.lines, self.most = lines, most
+        self.lines, self.most, self.per_word = lines, most, per_word
         self.allowed = lambda n: _allowed(n, most, per_word, per_char)
-        words = "split(line, ' ')"
-        self.symbols = f"if(size({words}) >= {per_word}, {words}, split(line, ''))"
-        self.by_word = f"size({words}) >= {per_word}"
-
-    def hashed(self, lines: DataFrame) -> DataFrame:
-        """(id, by_word, n, h): hashes of each line's symbols, for lines that allow an edit."""
-        out = lines.select("id", F.expr(self.by_word).alias("by_word"), F.expr(f"transform({self.symbols}, x -> xxhash64(x))").alias("h"))
-        return out.withColumn("n", F.size("h")).where(F.expr(self.allowed("n")) > 0)
-
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """(id, place, line): the earliest place and the text of the lines in ``ids``, and surely some others."""
-        return _marked(self.lines, "id", _named(ids, "id")).where("__named").groupBy("id").agg(F.min("place").alias("place"), F.first("line").alias("line"))
+        # Generators make columns of what is read more than once, which the optimizer would else compute anew each time.
+        rows = lines.select("place", *_ids(), "line", F.expr("inline(array(named_struct('words', split(line, ' '))))"))
+        rows = rows.select("place", "id", "check", F.expr(f"size(words) >= {per_word}").alias("by_word"), F.expr(f"inline(array(named_struct('h', transform(if(size(words) >= {per_word}, words, split(line, '')), x -> hash(x)))))"))
+        self.table = stored(rows.select("place", "id", "check", "by_word", F.size("h").alias("n"), "h"), "lines")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """(id) of the later line of each pair (ia, ib) that is within the edits; ia is no longer than ib."""
         met = stored(pairs.distinct(), "met")
-        texts = stored(self.texts(met.select(F.explode(F.array("ia", "ib")).alias("id"))).select("id", "place", F.expr(self.symbols).alias("s"), F.expr(self.by_word).alias("by_word")), "texts")
-        a, b = (texts.select(F.col("id").alias(f"i{x}"), F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"), F.col("by_word").alias(f"w{x}")) for x in "ab")
-        both = met.join(a, "ia").join(b, "ib").where("wa = wb").withColumnRenamed("wa", "by_word")
+        like = self._verified(met, self.table.select("id", "place", "by_word", F.col("h").alias("s")))
+        like = stored(like.select("ia", "ib", "pa", "pb"), "like")
+        symbols = f"if(size(split(line, ' ')) >= {self.per_word}, split(line, ' '), split(line, ''))"
+        texts = self.lines.select("place", _ids()[0], "line")
+        texts = texts.withColumns({"by_word": F.expr(f"size(split(line, ' ')) >= {self.per_word}"), "s": F.expr(symbols)})
+        near = self._verified(like.select("ia", "ib"), texts)
         later = F.when(F.struct("pa", "ia") > F.struct("pb", "ib"), F.col("ia")).otherwise(F.col("ib"))
-        out = stored(verified(both, self.allowed("size(sa)"), self.most).select(later.alias("id")).distinct(), "near")
-        release(met, texts)
+        out = stored(near.select(later.alias("id")).distinct(), "near")
+        release(met, like)
         return out
 
+    def _verified(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+        """The pairs of a stored table whose symbols ``s`` are within the edits, with the lines' earliest places as pa and pb."""
+        ids = pairs.select("ia").distinct().union(pairs.select("ib").distinct()).toDF("id")
+        own = marked(lines, "id", named(ids, "id")).where("__named").groupBy("id").agg(F.min("place").alias("place"), F.first("by_word").alias("by_word"), F.first("s").alias("s"))
+        own = stored(own, "symbols")
+        a, b = (own.select(F.col("id").alias(f"i{x}"), F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"), F.col("by_word").alias(f"w{x}")) for x in "ab")
+        both = salted_join(salted_join(pairs, a, "ia", "ib"), b, "ib", "ia", pairs).where("wa = wb").withColumnRenamed("wa", "by_word")
+        return verified(both, self.allowed("size(sa)"), self.most)
+
     def meet(self, keyed: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(pairs, heavy) of a stored table (id, key, own): all pairs under light keys, each line with the earliest under heavy ones.
 
@@ -176,9 +172,9 @@ class _Join:
         if many.isEmpty():
             return light, heavy
         heavy = stored(heavy, "heavy")
-        places = self.texts(heavy).select("id", "place")
+        places = marked(self.table.select("id", "place"), "id", named(heavy, "id")).where("__named").groupBy("id").agg(F.min("place").alias("place"))
         first = heavy.where("own").join(places, "id").groupBy("key").agg(F.min(F.struct("place", "id")).alias("f")).select("key", F.col("f.id").alias("ia"))
-        stars = stored(heavy.join(first, "key").where("ia <> id"), "stars")
+        stars = stored(salted_join(heavy, first, "key", "id").where("ia <> id"), "stars")
         release(heavy)
         return light.unionByName(stars.select("ia", F.col("id").alias("ib"))), stars.select("id", "key", "own")
 
@@ -186,10 +182,11 @@ class _Join:
         """(id) of lines with an earlier near line."""
         specs = segment_specs(self.most)
         names = "edits less segment shift"
-        own = _keyed(self.hashed(self.lines), _specs([s for s in specs if s[1] == s[3] == 0], names), _SEGMENT_KEY, self.allowed)
+        sized, key = self.table.select("id", "by_word", "n", "h").where(F.expr(self.allowed("n")) > 0), _segment_key()
+        own = _keyed(sized, _specs([s for s in specs if s[1] == s[3] == 0], names), key, self.allowed)
         own = stored(own.distinct(), "own")
-        probes = _keyed(self.hashed(self.lines), _specs([s for s in specs if s[1] or s[3]], names), _SEGMENT_KEY, self.allowed)
-        probes = _marked(probes, "key", _named(own, "key")).where("__named").drop("__named").distinct()
+        probes = _keyed(sized, _specs([s for s in specs if s[1] or s[3]], names), key, self.allowed)
+        probes = marked(probes, "key", named(own, "key")).where("__named").drop("__named").distinct()
         keyed = stored(own.unionByName(probes), "keys")
         pairs, heavy = self.meet(keyed)
         near = self.near(pairs)
@@ -197,8 +194,8 @@ class _Join:
         rest = stored(heavy.join(near, "id", "left_anti"), "rest")
         if not rest.isEmpty():
             around = stored(heavy.join(rest.select("key").distinct(), "key", "left_semi").select("id").distinct(), "around")
-            texts = self.texts(around).join(around, "id", "left_semi").select("id", "line")
-            masks = stored(_keyed(self.hashed(texts), _specs(mask_specs(self.most), "edits less j k shift"), _mask_key(), self.allowed), "masks")
+            hashed = marked(sized, "id", named(around, "id")).where("__named").drop("__named").dropDuplicates(["id"]).join(around, "id", "left_semi")
+            masks = stored(_keyed(hashed, _specs(mask_specs(self.most), "edits less j k shift"), _mask_key(), self.allowed), "masks")
             pairs, heavy = self.meet(masks, rest)
             parts.append(self.near(pairs))
             left = stored(heavy.join(rest, "id", "left_semi").join(parts[1], "id", "left_anti"), "left")
@@ -222,12 +219,13 @@ def repeated(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10, cha
     lines are known by two 64-bit hashes. Blank lines take no part. near counts
     the places whose line repeats no equal one, but a near one.
     """
-    lines = docs.select("doc", "own", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select(F.struct("doc", "own", "pos").alias("place"), F.expr(_TRIMMED).alias("line"))
-    lines = lines.where("line <> ''").select("place", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(7), "line").alias("check"), "line")
-    near = _Join(lines, most_edits, words_per_edit, chars_per_edit).found().withColumn("near", F.lit(True))
-    known = lines.groupBy("id", "check").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    trimmed = F.expr(f"transform(split(text, '\n'), x -> {_TRIMMED})")
+    lines = docs.select("doc", "own", F.posexplode(trimmed).alias("pos", "line")).select(F.struct("doc", "own", "pos").alias("place"), "line")
+    join = _Join(lines.where("line <> ''"), most_edits, words_per_edit, chars_per_edit)
+    near = join.found().withColumn("near", F.lit(True))
+    known = join.table.groupBy("id", "check").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     info = stored(known.join(near, "id", "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")), "info")
-    some = _marked(lines.select("place", "id", "check"), "id", _named(info, "id")).where("__named").drop("__named")
+    some = marked(join.table.select("place", "id", "check"), "id", named(info, "id")).where("__named").drop("__named")
     gone = some.join(info, ["id", "check"]).where("near or place > first")
     return gone.groupBy("place.doc", "place.own").agg(F.array_sort(F.collect_list("place.pos")).alias("gone"), F.count_if(F.col("place") == F.col("first")).alias("near"))
 
@@ -250,9 +248,9 @@ def dedup_lines(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10,
     base = docs.select(*[docs[f"`{c}`"] for c in columns], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit((1 << 63) - 1)).alias("__doc"))
     base = base.withColumn("__own", F.xxhash64(text))
     gone = stored(repeated(base.select(F.col("__doc").alias("doc"), F.col("__own").alias("own"), text.alias("text")), most_edits, words_per_edit, chars_per_edit), "gone")
-    marked = _marked(base, "__doc", _named(gone, "doc"))
-    hit = marked.where("__named").join(gone.withColumnsRenamed({"doc": "__doc", "own": "__own", "gone": "__at", "near": "__near"}), ["__doc", "__own"], "left")
-    rest = marked.where("not __named").withColumns({"__at": F.lit(None).cast("array<int>"), "__near": F.lit(0).cast("long")})
+    split = marked(base, "__doc", named(gone, "doc"))
+    hit = split.where("__named").join(gone.withColumnsRenamed({"doc": "__doc", "own": "__own", "gone": "__at", "near": "__near"}), ["__doc", "__own"], "left")
+    rest = split.where("not __named").withColumns({"__at": F.lit(None).cast("array<int>"), "__near": F.lit(0).cast("long")})
     out = hit.unionByName(rest).withColumns({"__raw": F.split(text, "\n"), "__gone": F.coalesce("__at", F.expr("cast(array() as array<int>)"))})
     # What stands between the places that go, slice by slice.
     pieces = "transform(sequence(0, size(__gone)), i -> slice(__raw, if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1) + 1, if(i = size(__gone), size(__raw), __gone[least(i, size(__gone) - 1)]) - if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1)))"
