@@ -16,9 +16,9 @@ URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 
 def op1_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.chroma import fingerprints, search, tones
+    from quillon.llm.chroma import fingerprints, search, tone
 
-    return search(fingerprints(tones(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "id", "audio"))
+    return search(fingerprints(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", sound=tone))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents"))[0].drop("shards")
+    out = mix(_table(spark, sf_dir, "documents"))
+    return out.selectExpr("doc_id", "source", "size", "source_size", "target", "copies", "taken", "array_join(shards, ',') AS shards")
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
