@@ -3,15 +3,14 @@
 A window of K bytes is a closed syncmer if the least hash of its inner runs of S
 bytes stands first or last in it. Whether a window is chosen depends on its own
 bytes only, so an edit changes anchors near it and no others, and equal passages
-have equal anchors wherever they stand. A fingerprint keeps the anchors with the
-least hashes and where they stood; two fingerprints are compared by the share of
-anchors of their union's least that both have at one common offset.
+have equal anchors wherever they stand; of K - S + 1 windows in a row one at least
+is chosen. A fingerprint keeps every anchor and its place; two fingerprints are
+compared by the share of all their anchors that both have at one common offset.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,13 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import text_bytes
 from quillon.llm.textbytes import U64, mix
 
-K, S, KEPT = 12, 4, 64
+#: Bytes of a window and of its inner runs: 2 of K - S + 1 windows are chosen on average.
+K, S = 32, 4
 #: Anchors within so many bytes of one offset agree in position: insertions shift what follows.
 SLACK = 64
-PART_BYTES = 16 << 20
+#: Bytes of text in a range of doc_ids, and ranges at most (a range is read as a stream).
+PART_BYTES, PARTS = 64 << 20, 10_000
+_ANCHOR = np.dtype([("hash", ">u8"), ("gap", "u1")])
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,49 +45,49 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         least = np.minimum(least[:-step], least[step:])
         have += step
     chosen = np.flatnonzero((hashes[: n - K + 1] == least) | (hashes[width - 1 :] == least))
-    with np.errstate(over="ignore"):
-        whole = mix(runs[chosen] * U64(3) ^ mix(runs[chosen + S] * U64(5) ^ mix(runs[chosen + K - S])))
+    whole = np.zeros(len(chosen), U64)
+    for step in range(0, K, S):
+        whole = mix(whole ^ runs[chosen + step])
     return whole, chosen
 
 
-def fingerprint(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The KEPT least distinct anchor hashes, ascending, and where each first stood."""
-    hashes, at = anchors(raw)
-    if len(hashes) > 4 * KEPT:
-        near = np.flatnonzero(hashes <= np.partition(hashes, 4 * KEPT - 1)[4 * KEPT - 1])
-        if len(np.unique(hashes[near])) >= KEPT:
-            hashes, at = hashes[near], at[near]
-    kept, first = np.unique(hashes, return_index=True)
-    return kept[:KEPT], at[first[:KEPT]]
+def _numbered(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors made distinct by how often they stood before in the text, ascending, and their places."""
+    order = np.lexsort((at, hashes))
+    hashes, at = hashes[order], at[order]
+    first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    places = np.arange(len(hashes))
+    before = places - np.maximum.accumulate(np.where(first, places, 0))
+    own = np.where(before > 0, mix(hashes ^ mix(before.astype(U64))), hashes)
+    own, first = np.unique(own, return_index=True)
+    return own, at[first]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """0 to 1: the share of the union's least anchors that both have, near the commonest offset; two empty texts are alike."""
-    (ha, pa_), (hb, pb) = a, b
-    if not len(ha) or not len(hb):
-        return float(len(ha) == len(hb))
-    size = len(ha) if len(ha) == len(hb) and np.array_equal(ha, hb) else min(KEPT, len(np.union1d(ha, hb)))
+    """0 to 1: the share of all anchors that both have, near the commonest offset; two empty texts are alike."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    (ha, pa_), (hb, pb) = _numbered(*a), _numbered(*b)
     both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if size == KEPT and len(both):
-        top = np.union1d(ha, hb)[size - 1]
-        ia, ib = ia[both <= top], ib[both <= top]
-    if not len(ia):
+    if not len(both):
         return 0.0
-    bins = Counter(((pa_[ia] - pb[ib]) // SLACK).tolist())
-    return max(n + bins.get(x + 1, 0) for x, n in bins.items()) / size
+    bins, counts = np.unique((pa_[ia] - pb[ib]) // SLACK, return_counts=True)
+    near = counts.copy()
+    near[:-1] += np.where(bins[1:] == bins[:-1] + 1, counts[1:], 0)
+    return float(near.max()) / (len(ha) + len(hb) - len(both))
 
 
 def text_of(prints: tuple[np.ndarray, np.ndarray]) -> str:
-    """A fingerprint as text: hash:position of each anchor, in hexadecimal."""
-    return ",".join(f"{h:016x}:{p:x}" for h, p in zip(prints[0].tolist(), prints[1].tolist(), strict=True))
+    """A fingerprint as text: for each anchor 16 hexadecimal digits of its hash and 2 of how far it stands behind the last one."""
+    out = np.zeros(len(prints[0]), _ANCHOR)
+    out["hash"], out["gap"] = prints[0], np.diff(prints[1], prepend=0)
+    return out.tobytes().hex()
 
 
-def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Ascending doc_ids that cut the table into about ``parts`` equal ranges."""
-    if parts < 2:
-        return []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    return sorted(set(cuts))
+def _cuts(docs: DataFrame, parts: int) -> np.ndarray:
+    """Descending doc_ids, each the first of one of about ``parts`` equal ranges."""
+    found = docs.agg(F.max("doc_id"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], PARTS)).first()
+    return np.array(sorted({x for x in [found[0], *(found[1] or [])] if x is not None}, reverse=True), np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,52 +101,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come last; a table of one row follows itself; an empty table gives an empty
     result. Other columns are ignored.
 
-    One shuffle deals the texts, compressed, into ranges of doc_id. A range is
-    read in order as a stream, never held; what follows its last row is the first
-    text of the next range, which a small lookup of one text per range supplies.
+    One shuffle deals the texts, compressed, into ranges of doc_id that begin with
+    a known one. A range is read in order as a stream, never held; the row that
+    the next range begins with is sent to both. Only what follows the last id and
+    the last null goes to every task, two texts.
     """
     import zstandard
 
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(16, -(-text_bytes(docs, "text") // PART_BYTES))
-    cuts = _bounds(docs, parts)
-    at = F.lit(len(cuts) + 1)  # null doc_ids
-    if cuts:
-        at = F.when(F.col("doc_id").isNull(), at).otherwise(F.lit(len(cuts)) - F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c <= doc_id))"))
-    else:
-        at = F.when(F.col("doc_id").isNull(), at).otherwise(F.lit(0))
-    parted = docs.withColumn("part", at.cast("int")).withColumn("tie", F.xxhash64("text"))
-    top = {r[0]: r[1] for r in parted.groupBy("part").agg(F.max("doc_id")).collect()}
-    heads = {}
-    if top:
-        ids = [x for x in top.values() if x is not None]
-        first = parted.where(F.col("doc_id").isin(ids)) if None not in top.values() else parted.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
-        found = first.groupBy("part").agg(F.min_by("text", F.struct(-F.col("doc_id"), "tie"))).collect()
-        heads = {r[0]: r[1] for r in found}
-    order = sorted(heads)
-    follow = {p: heads[order[(i + 1) % len(order)]] for i, p in enumerate(order)}
-    after = spark.sparkContext.broadcast(follow)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    cuts = _cuts(docs, min(PARTS, max(16, -(-text_bytes(docs, "text") // PART_BYTES))))
+    first = docs.where(F.col("doc_id") == F.lit(int(cuts[0]))).agg(F.min_by("text", "tie")).first()[0] if len(cuts) else None
+    first_null = docs.where("doc_id is null").agg(F.min_by("text", "tie")).first()[0]
+    if first is None:
+        first = first_null
+    # By part: what follows the last row of the last range, and the last null.
+    shared = spark.sparkContext.broadcast((-cuts, {len(cuts) - 1: first if first_null is None else first_null, len(cuts): first}))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer, (starts, _) = zstandard.ZstdCompressor(level=1), shared.value
         for batch in batches:
-            packed = [packer.compress(x.as_buffer()) for x in batch.column(3).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["part", "doc_id", "tie", "packed"])
+            ids, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            part = np.where(null, len(starts), np.searchsorted(starts, -ids, side="right") - 1)
+            heads = np.flatnonzero(~null & np.isin(-ids, starts) & (part > 0))
+            packed = pa.array([packer.compress(x.as_buffer()) for x in batch.column(1).cast(pa.large_binary())], pa.binary())
+            columns = [pa.array(part.astype(np.int32)), pa.array(np.zeros(len(part), np.int32)), batch.column(0), batch.column(2), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=_PACKED)
+            if len(heads):
+                columns = [pa.array((part[heads] - 1).astype(np.int32)), pa.array(np.ones(len(heads), np.int32)), *(c.take(pa.array(heads)) for c in columns[2:])]
+                yield pa.RecordBatch.from_arrays(columns, names=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opener = zstandard.ZstdDecompressor()
+        opener, (_, tails) = zstandard.ZstdDecompressor(), shared.value
         held: tuple[int, int | None, str, tuple] | None = None
         rows: list[tuple] = []
 
         def prints(text: str) -> tuple[np.ndarray, np.ndarray]:
-            return fingerprint(np.frombuffer(text.encode(), np.uint8))
+            return anchors(np.frombuffer(text.encode(), np.uint8))
 
-        def done(doc_id: int | None, text: str, own: tuple, next_text: str, next_own: tuple) -> None:
+        def done(next_text: str, next_own: tuple) -> None:
+            _, doc_id, text, own = held
             n, cut = len(text), len(text) // 3
-            edited = text[: n - cut] + next_text[:cut]
-            data = edited.encode()
-            changed = fingerprint(np.frombuffer(data, np.uint8))
+            data = (text[: n - cut] + next_text[:cut]).encode()
+            changed = anchors(np.frombuffer(data, np.uint8))
             rows.append((doc_id, n, hashlib.sha256(data).hexdigest(), text_of(own), text_of(changed), likeness(own, changed), likeness(own, next_own)))
 
         def flush() -> pa.RecordBatch:
@@ -153,24 +152,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return out
 
         for batch in batches:
-            for part, doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+            for part, copied, doc_id, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(4), strict=True):
+                if copied and not held:
+                    continue
                 text = opener.decompress(packed.as_buffer()).decode()
                 own = prints(text)
-                if held:
-                    next_text = text if held[0] == part else after.value[held[0]]
-                    done(*held[1:], next_text, own if held[0] == part else prints(next_text))
-                held = part, doc_id, text, own
+                if held and held[0] == part:
+                    done(text, own)
+                elif held:
+                    done(tails[held[0]], prints(tails[held[0]]))
+                held = None if copied else (part, doc_id, text, own)
                 if len(rows) >= 512:
                     yield flush()
         if held:
-            next_text = after.value[held[0]]
-            done(*held[1:], next_text, prints(next_text))
+            done(tails[held[0]], prints(tails[held[0]]))
+        if rows:
             yield flush()
 
-    packed = parted.select("part", "doc_id", "tie", "text").mapInArrow(squeeze, "part int, doc_id long, tie long, packed binary")
-    dealt = packed.repartitionById(len(cuts) + 2, F.col("part")).sortWithinPartitions("part", F.desc("doc_id"), "tie")
+    packed = docs.select("doc_id", "text", "tie").mapInArrow(squeeze, "part int, copied int, doc_id long, tie long, packed binary")
+    dealt = packed.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "copied", F.desc("doc_id"), "tie")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+_PACKED = ["part", "copied", "doc_id", "tie", "packed"]
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
