@@ -10,7 +10,9 @@ probabilities are mixed with weight 1/2 each, at all depths:
 The tree keeps every context of the training texts. Texts are dealt into chunks;
 a chunk sends its distinct runs of depth + 1 bytes, packed, to the part of the
 tree under the run's last two context bytes, where the chunks' counts are added
-up and the part is weighed. What lies above the parts has a fixed size (256 x 256
+up and the part is weighed; the counts of many chunks are first added up by FAN
+chunks at a time, and the costs go back the same way, so that no task gets a row
+from every chunk. What lies above the parts has a fixed size (256 x 256
 decisions) and is weighed on the driver; the parts then send each chunk the costs
 of its own runs. Only decisions that some text meets are held. Weights are those
 after the last training byte and stay fixed, so scores don't depend on the order
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import release, stored, text_bytes
 from quillon.llm.textbytes import LOWER, U64, buffer_of, pieces, spans, word_hashes
 
-CHUNK_BYTES = 24 << 20
+#: Bytes of text in a chunk, and chunks whose runs meet in one task.
+CHUNK_BYTES, FAN = 24 << 20, 64
 
 
 def _streams(column: pa.Array, depth: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -335,9 +338,34 @@ def _top(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return first * ((one + 0.5) / (zero + one + 1.0)) + (1 - first) * stop * estimate, (1 - first) * (1 - stop)
 
 
-def run_costs(sent: DataFrame, depth: int) -> DataFrame:
+def run_costs(sent: DataFrame, depth: int, chunks: int) -> DataFrame:
     """(chunk, part, costs): for each row of ``sent(chunk, part, runs, counts)`` the costs of its runs, as floats, under the tree of all rows' counts."""
 
+    def merged(group: pa.Table) -> pa.Table:
+        runs, counts = _gathered(group)
+        return pa.table({"chunk": group["above"][:1], "part": group["part"][:1], "runs": pa.array([_pack(np.diff(runs, prepend=0))], pa.binary()), "counts": pa.array([_pack(counts)], pa.binary())})
+
+    levels = [sent]
+    while chunks > FAN:
+        above = levels[-1].withColumn("above", F.expr(f"int(chunk div {FAN})"))
+        levels.append(stored(above.groupBy("part", "above").applyInArrow(merged, "chunk int, part int, runs binary, counts binary"), "runs"))
+        chunks = -(-chunks // FAN)
+
+    def spread(children: pa.Table, parent: pa.Table) -> pa.Table:
+        runs, costs = np.cumsum(_unpack(parent["runs"][0].as_py())), np.frombuffer(parent["costs"][0].as_py(), "<f4")
+        own = [costs[np.searchsorted(runs, np.cumsum(_unpack(x)))].tobytes() for x in children["runs"].to_pylist()]
+        return pa.table({"chunk": children["chunk"], "part": children["part"], "costs": pa.array(own, pa.binary())})
+
+    costs = _top_costs(levels[-1], depth)
+    for i in range(len(levels) - 2, -1, -1):
+        parent = levels[i + 1].select("chunk", "part", "runs").join(costs, ["chunk", "part"]).withColumnRenamed("chunk", "above")
+        children = levels[i].select("chunk", "part", "runs").withColumn("above", F.expr(f"int(chunk div {FAN})"))
+        costs = children.groupBy("part", "above").cogroup(parent.groupBy("part", "above")).applyInArrow(spread, "chunk int, part int, costs binary")
+    return costs
+
+
+def _top_costs(sent: DataFrame, depth: int) -> DataFrame:
+    """The same for a table with at most FAN rows of each part."""
     def weighed(group: pa.Table) -> pa.Table:
         part, (runs, counts) = group["part"][0].as_py(), _gathered(group)
         found = []
@@ -406,9 +434,9 @@ def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int
     give every bit 1/2. Other columns are ignored.
 
     Word counts reach the texts without a table of all words in one place: texts
-    are dealt into chunks of about 24 MB, a chunk sends its distinct words, gets
-    back their counts over all chunks, and looks its words up there. A word has
-    at most one row for each chunk, so no word is hot.
+    are dealt into chunks of about 24 MB, a partition each; a chunk sends its
+    distinct words, gets back their counts over all chunks, and looks its words up
+    there. A word has at most one row for each chunk, so no word is hot.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -416,20 +444,23 @@ def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int
     chunks = max(32, -(-text_bytes(docs, "text") // CHUNK_BYTES))
     docs = docs.withColumn("learns", learns)
     model = spark.sparkContext.broadcast(train(docs.where("learns"), depth, nodes)) if nodes else None
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
-    def words(group: pa.Table) -> pa.Table:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if not held:
+            return
+        group = pa.Table.from_batches(held)
         text = group["text"].combine_chunks()
         learnt = group["learns"].to_numpy().astype(bool)
         keys, counts = _dictionary(text, learnt)
-        chunk = np.full(len(keys), group["chunk"][0].as_py(), np.int32)
+        own = group["chunk"][0].as_py()
         parts = [] if nodes else list(_sent(*run_counts(text, learnt, depth), depth))
-        kinds = pa.int32(), pa.binary(), pa.binary()
-        some = pa.table({"chunk": chunk, "word": keys.view(np.int64), "n": counts})
-        other = pa.table({"chunk": np.full(len(parts), group["chunk"][0].as_py(), np.int32)} | {name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate(zip(("part", "runs", "counts"), kinds, strict=True))})
-        return pa.concat_tables([some, other], promote_options="default").select(["chunk", "word", "n", "part", "runs", "counts"])
+        some = pa.table({"chunk": np.full(len(keys), own, np.int32), "word": keys.view(np.int64), "n": counts})
+        other = pa.table({"chunk": np.full(len(parts), own, np.int32)} | {name: pa.array([p[i] for p in parts], kind) for i, (name, kind) in enumerate((("part", pa.int32()), ("runs", pa.binary()), ("counts", pa.binary())))})
+        yield from pa.concat_tables([some, other], promote_options="default").select(["chunk", "word", "n", "part", "runs", "counts"]).to_batches(1 << 16)
 
-    both = stored(dealt.groupBy("chunk").applyInArrow(words, "chunk int, word long, n long, part int, runs binary, counts binary"), "words")
+    both = stored(dealt.repartitionById(chunks, F.col("chunk")).mapInArrow(words, "chunk int, word long, n long, part int, runs binary, counts binary"), "words")
     sent = both.where("part is null").select("chunk", "word", "n")
     totals = sent.groupBy("word").agg(F.sum("n").alias("n"))
     known = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count_if(F.col("n") > 0).alias("kinds")).first()
@@ -437,10 +468,18 @@ def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int
     train_tokens, kinds = int(known["words"]) + texts, int(known["kinds"]) + bool(texts)
     scale = float(np.log10(train_tokens + kinds + 1))
     back = sent.join(totals.withColumnRenamed("n", "c").hint("merge"), "word").select("chunk", "word", "c")
-    costs = run_costs(both.where("part is not null").select("chunk", "part", "runs", "counts"), depth) if not nodes else spark.createDataFrame([], "chunk int, part int, costs binary")
+    costs = run_costs(both.where("part is not null").select("chunk", "part", "runs", "counts"), depth, chunks) if not nodes else spark.createDataFrame([], "chunk int, part int, costs binary")
     back = back.unionByName(costs, allowMissingColumns=True)
 
-    def look_up(group: pa.Table, counted: pa.Table) -> pa.Table:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        is_text = pc.is_valid(whole["text"])
+        group, counted = whole.filter(is_text), whole.filter(pc.invert(is_text))
+        if not group.num_rows:
+            return
         is_word = pc.is_null(counted["part"])
         of_runs = counted.select(["part", "costs"]).filter(pc.invert(is_word)).sort_by("part")
         costs = np.frombuffer(b"".join(of_runs["costs"].to_pylist()), "<f4")
@@ -464,9 +503,13 @@ def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int
             scores = code_lengths(column, *model.value, depth)
         else:
             scores = run_scores(column, run_counts(column, np.zeros(len(column), bool), depth)[0], costs, depth)
-        return pa.table({
+        yield from pa.table({
             "doc_id": group["doc_id"], "held_out": pa.array(~group["learns"].to_numpy().astype(bool)), "n_tokens": tokens, "n_known": hits,
             "train_tokens": np.full(len(column), train_tokens), "base_score": base, "score": scores, "bits_per_byte": scores * -np.log2(10) / (np.diff(offsets) + 1),
-        })
+        }).to_batches(1 << 14)
+
+    met = dealt.unionByName(back, allowMissingColumns=True).select(*_MET).repartitionById(chunks, F.col("chunk"))
+    return met.mapInArrow(look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+
 
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+_MET = ["doc_id", "text", "learns", "chunk", "word", "c", "part", "costs"]
