@@ -10,9 +10,10 @@ lies around a cut, from the last seam before it to the first behind it, is
 encoded again as one stretch, over several chunks where these have no seam. The
 result is the encoding of the whole text.
 
-The vocabulary file is a parameter. Texts with special tokens, or with
-characters beyond those on which the two libraries' character classes are known
-to agree, are encoded by the tokenizers library itself.
+The vocabulary file is a parameter. Whether a character beyond ASCII is a letter,
+a number, white space or none of these is asked of both libraries when it first
+comes up. Texts with a special token, or with a character on which they disagree,
+are encoded by the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ class Coder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if self.library.normalizer is not None or spec["pre_tokenizer"].get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError("the file is none of a plain byte-level BPE")
         specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -77,7 +80,24 @@ class Coder:
         for token, rank in ranked.items():
             self.same_ids[rank] = vocab[token]
         self.kept: dict[bytes, tuple[int, int, np.ndarray]] = {}
-        self.held = 0
+        self.held = self.seen = self.reused = 0  # bytes kept, met in chunks, and of these met before
+        self.agreed, self.differ = {chr(i) for i in range(128)}, set()
+
+    def _known(self, text: str) -> bool:
+        """Whether the libraries split all characters of the text alike."""
+        chars = set(text)
+        new = sorted(chars - self.agreed - self.differ)
+        if new:
+            import tiktoken
+
+            # One piece is one token of this vocabulary: a letter joins an a, a number a 1, another sign an !.
+            pieces = [h + c for c in new for h in "a1!"]
+            ranks = {bytes([i]): i for i in range(256)} | {p.encode(): 256 + i for i, p in enumerate(pieces)}
+            probe, split = tiktoken.Encoding("probe", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}), self.library.pre_tokenizer.pre_tokenize_str
+            for c in new:
+                same = all((len(split(h + c)) == 1) == (len(probe.encode_ordinary(h + c)) == 1) for h in "a1!")
+                (self.agreed if same else self.differ).add(c)
+        return not chars & self.differ
 
     def _tokens(self, data: bytes) -> np.ndarray:
         return self.same_ids[self.fast.encode_to_numpy(data.decode(), disallowed_special=())]
@@ -92,12 +112,15 @@ class Coder:
                 self.held = 0
             self.kept[data] = found
             self.held += len(data) + 4 * len(found[2])
+        else:
+            self.reused += len(data)
+        self.seen += len(data)
         return found
 
     def encode(self, raw: np.ndarray) -> np.ndarray:
         """The ids of one text's bytes."""
         data = raw.tobytes()
-        if any(x in data for x in self.specials) or (len(raw) and int(raw.max()) > 0xC9):
+        if any(x in data for x in self.specials) or (len(raw) and int(raw.max()) > 127 and not self._known(data.decode())):
             return np.array(self.library.encode(data.decode(), add_special_tokens=False).ids, np.uint32)
         if len(raw) < 64:
             return self._tokens(data)
