@@ -22,7 +22,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier elsewhere; those of which nothing is left go."""
     out = line_dedup.dedup_lines(docs)
-    return out.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return out.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
