@@ -258,7 +258,7 @@ def test_chroma_noisy_bytes(spark):
     wrong = values ^ (np.uint32(0x55) << (8 * rng.integers(0, 4, values.shape)).astype(np.uint32))
     rows = [(50 * i, values[i].tobytes()) for i in range(20)] + [(50 * i + 1, wrong[i].tobytes()) for i in range(20)]
     got = {(r["query_id"], r["match_id"]): (r["hits"], r["bit_error"]) for r in chroma.search(spark.createDataFrame(rows, "id long, print binary")).collect()}
-    assert all(got.get((50 * i, 50 * i + 1)) == (40, 0.125) and got.get((50 * i, 50 * i)) == (40, 0.0) for i in range(20))
+    assert all(got.get((50 * i, 50 * i + 1)) == (32, 0.125) and got.get((50 * i, 50 * i)) == (32, 0.0) for i in range(20))
 
 
 def test_chroma_second_refrain(spark):
@@ -268,6 +268,6 @@ def test_chroma_second_refrain(spark):
     clip = np.concatenate([refrain, last])
     df = spark.createDataFrame([(0, clip.tobytes()), (1, song.tobytes())], "id long, print binary")
     got = {r["match_id"]: (r["frame_offset"], r["hits"]) for r in chroma.search(df).collect()}
-    assert got == {0: (0, 140), 1: (-200, 140)}
+    assert got == {0: (0, 132), 1: (-200, 132)}
 
 
