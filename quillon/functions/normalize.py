@@ -7,30 +7,71 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names under which a model occurs, by canonical name.
-MODEL_ALIASES = {
-    "gpt-5.1": ["gpt5", "gpt5.1", "gpt-5.1", "gpt-5.1-2025-11-13"],
-    "gpt-4o": ["gpt4", "gpt4-o", "gpt-4o"],
-    "gpt-oss-20b": ["gpt-oss", "gpt-oss-20b", "gpt-oss-low-effort", "gpt-oss-low-effort-4bit", "gpt-oss-medium-effort", "gpt-oss-high-effort", "openai/gpt-oss-20b", "unsloth/gpt-oss-20b", "unsloth/gpt-oss-20b-unsloth-bnb-4bit"],
-    "gpt-oss-120b": ["gpt-oss-120b", "gpt-oss-120b-low-effort", "openai/gpt-oss-120b"],
-    "qwen3-4b": ["qwen3-4b", "qwen/qwen3-4b", "unsloth/qwen3-4b", "unsloth/qwen3-4b-unsloth-bnb-4bit"],
-    "qwen3-8b": ["qwen3-8b", "qwen/qwen3-8b", "unsloth/qwen3-8b", "unsloth/qwen3-8b-unsloth-bnb-4bit"],
-    "qwen3-14b": ["qwen3-14b", "qwen3_14b", "qwen3-14b-low-max-tokens", "qwen/qwen3-14b", "unsloth/qwen3-14b", "unsloth/qwen3-14b-unsloth-bnb-4bit"],
-    "qwen3-32b": ["qwen3-32b", "qwen3_32b", "qwen3-32b-low-max-tokens", "qwen/qwen3-32b", "unsloth/qwen3-32b", "unsloth/qwen3-32b-unsloth-bnb-4bit"],
-    "gemma-3-4b-it": ["gemma3-4b", "gemma-3-4b-it", "google/gemma-3-4b-it"],
-    "gemini-3-pro-preview": ["gemini3-pro", "gemini-3-pro-preview"],
-    "gemini-3-flash-preview": ["gemini3-flash", "gemini-3-flash-preview"],
-    "llama-3.3-70b-instruct": ["llama3-70b", "llama-3.3-70b-instruct", "meta-llama/llama-3.3-70b-instruct"],
-    "llama-3.1-70b-instruct": ["meta-llama/llama-3.1-70b-instruct"],
-    "llama-3.1-8b-instruct": ["meta-llama/llama-3.1-8b-instruct"],
-    "llama-3-70b-instruct": ["meta-llama/llama-3-70b-instruct"],
-    "claude-3.5-sonnet": ["claude-3-5-sonnet", "claude-3-5-sonnet-20241022"],
-    "claude-3-opus": ["claude-3-opus", "claude-3-opus-20240229"],
-    "gpt-4": ["gpt-4"],
-    "gpt-4-turbo": ["gpt-4-turbo", "gpt-4-turbo-preview"],
-    "gpt-3.5-turbo": ["gpt-3.5-turbo"],
+#: Names under which a model occurs, and its canonical name.
+BY_ALIAS = {
+    "gpt5": "gpt-5.1",
+    "gpt5.1": "gpt-5.1",
+    "gpt-5.1": "gpt-5.1",
+    "gpt-5.1-2025-11-13": "gpt-5.1",
+    "gpt4": "gpt-4o",
+    "gpt4-o": "gpt-4o",
+    "gpt-4o": "gpt-4o",
+    "gpt-oss": "gpt-oss-20b",
+    "gpt-oss-20b": "gpt-oss-20b",
+    "gpt-oss-low-effort": "gpt-oss-20b",
+    "gpt-oss-low-effort-4bit": "gpt-oss-20b",
+    "gpt-oss-medium-effort": "gpt-oss-20b",
+    "gpt-oss-high-effort": "gpt-oss-20b",
+    "openai/gpt-oss-20b": "gpt-oss-20b",
+    "unsloth/gpt-oss-20b": "gpt-oss-20b",
+    "unsloth/gpt-oss-20b-unsloth-bnb-4bit": "gpt-oss-20b",
+    "gpt-oss-120b": "gpt-oss-120b",
+    "gpt-oss-120b-low-effort": "gpt-oss-120b",
+    "openai/gpt-oss-120b": "gpt-oss-120b",
+    "qwen3-4b": "qwen3-4b",
+    "qwen/qwen3-4b": "qwen3-4b",
+    "unsloth/qwen3-4b": "qwen3-4b",
+    "unsloth/qwen3-4b-unsloth-bnb-4bit": "qwen3-4b",
+    "qwen3-8b": "qwen3-8b",
+    "qwen/qwen3-8b": "qwen3-8b",
+    "unsloth/qwen3-8b": "qwen3-8b",
+    "unsloth/qwen3-8b-unsloth-bnb-4bit": "qwen3-8b",
+    "qwen3-14b": "qwen3-14b",
+    "qwen3_14b": "qwen3-14b",
+    "qwen3-14b-low-max-tokens": "qwen3-14b",
+    "qwen/qwen3-14b": "qwen3-14b",
+    "unsloth/qwen3-14b": "qwen3-14b",
+    "unsloth/qwen3-14b-unsloth-bnb-4bit": "qwen3-14b",
+    "qwen3-32b": "qwen3-32b",
+    "qwen3_32b": "qwen3-32b",
+    "qwen3-32b-low-max-tokens": "qwen3-32b",
+    "qwen/qwen3-32b": "qwen3-32b",
+    "unsloth/qwen3-32b": "qwen3-32b",
+    "unsloth/qwen3-32b-unsloth-bnb-4bit": "qwen3-32b",
+    "gemma3-4b": "gemma-3-4b-it",
+    "gemma-3-4b-it": "gemma-3-4b-it",
+    "google/gemma-3-4b-it": "gemma-3-4b-it",
+    "gemini3-pro": "gemini-3-pro-preview",
+    "gemini-3-pro-preview": "gemini-3-pro-preview",
+    "gemini3-flash": "gemini-3-flash-preview",
+    "gemini-3-flash-preview": "gemini-3-flash-preview",
+    "llama3-70b": "llama-3.3-70b-instruct",
+    "llama-3.3-70b-instruct": "llama-3.3-70b-instruct",
+    "meta-llama/llama-3.3-70b-instruct": "llama-3.3-70b-instruct",
+    "meta-llama/llama-3.1-70b-instruct": "llama-3.1-70b-instruct",
+    "meta-llama/llama-3.1-8b-instruct": "llama-3.1-8b-instruct",
+    "meta-llama/llama-3-70b-instruct": "llama-3-70b-instruct",
+    "claude-3-5-sonnet": "claude-3.5-sonnet",
+    "claude-3-5-sonnet-20241022": "claude-3.5-sonnet",
+    "claude-3-opus": "claude-3-opus",
+    "claude-3-opus-20240229": "claude-3-opus",
+    "gpt-4": "gpt-4",
+    "gpt-4-turbo": "gpt-4-turbo",
+    "gpt-4-turbo-preview": "gpt-4-turbo",
+    "gpt-3.5-turbo": "gpt-3.5-turbo",
 }
-BY_ALIAS = {alias: name for name, aliases in MODEL_ALIASES.items() for alias in aliases}
+#: The pattern of artifact file names.
+ARTIFACT_NAME = r"^([a-z0-9_-]+)_([a-z0-9_-]+)_([a-z0-9\-_:]+?)(?:_([0-9]{8}T[0-9]{6}Z))?_(v[0-9]{2})\.([a-z0-9]+)$"
 VARIATION = "::variation::"
 
 
@@ -133,6 +174,5 @@ def stable_seed(*parts: Column) -> Column:
 
 def artifact_name(c: Column) -> Column:
     """Struct of an artifact file name ``artifact_evaluation_detail[_timestamp]_vNN.ext``."""
-    pattern = r"^([a-z0-9_-]+)_([a-z0-9_-]+)_([a-z0-9\-_:]+?)(?:_([0-9]{8}T[0-9]{6}Z))?_(v[0-9]{2})\.([a-z0-9]+)$"
     names = ("artifact", "evaluation", "detail", "timestamp", "version", "ext")
-    return F.struct(*[F.nullif(F.regexp_extract(c, pattern, i + 1), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return F.struct(*[F.nullif(F.regexp_extract(c, ARTIFACT_NAME, i + 1), F.lit("")).alias(n) for i, n in enumerate(names)])

@@ -18,7 +18,7 @@ OVERCONFIDENT = ("definitely", "certainly", "guaranteed", "always", "never", "ob
 REFUSAL = ("can't", "cannot", "won't", "unable", "refuse")
 FIRST_PERSON = ("i", "i'm", "ive", "i've", "me", "my", "we", "our", "us")
 SECOND_PERSON = ("you", "your", "yours", "you're")
-STOPWORDS = tuple("a an and are as at be but by for from has have he her hers him his i if in into is it its me my no not of on or our ours she so that the their theirs them then there these they this to too was we were what when where which who why will with you your yours".split())
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "hers", "him", "his", "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of", "on", "or", "our", "ours", "she", "so", "that", "the", "their", "theirs", "them", "then", "there", "these", "they", "this", "to", "too", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your", "yours")
 
 
 def tokens(c: Column) -> Column:

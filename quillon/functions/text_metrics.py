@@ -35,7 +35,19 @@ OPTIONS = ("Option", "Alternatively", "Either", "Or:", "You can also")
 CONSTRAINTS = ("must", "do not", "don't", "avoid", "required", "format", "constraint")
 ALLOWED_QUESTIONS = ("input", "data", "code", "version", "environment", "example")
 FALSE_CLAIMS = ("done", "i created", "as you can see", "implemented")
+LEXICONS = {
+    "novice": ("step-by-step", "example", "explain", "remember", "pitfall"),
+    "intermediate": ("pitfall", "common", "debug", "check", "explain"),
+    "researcher": ("reproducible", "traceable", "ablation", "seed", "benchmark"),
+    "advanced": ("assumption", "edge case", "complexity", "perf", "benchmark"),
+}
+PERSONAS = {"python_novice": "novice", "intermediate_learner": "intermediate", "ai_researcher": "researcher", "advanced_developer": "advanced"}
+DEICTIC = ("today", "tomorrow", "yesterday", "above", "below", "next week")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec", "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December")
+#: Tokens on either side within which a date or an earlier message resolves a deictic word.
+NEARBY = 10
 _STOP = frozenset(STOPWORDS)
+_DATE = re.compile(rf"\b(?:{'|'.join(MONTHS)})\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b", re.IGNORECASE)
 _FENCE = re.compile(r"```[\s\S]*?```")
 _BLOCK = re.compile(r"```[^\n`]*\n([\s\S]*?)```")
 
@@ -138,18 +150,72 @@ def prompt_metrics(text: str, prompt: str) -> dict[str, float]:
     }
 
 
-def compute(text: str | None, prompt: str | None = None) -> dict[str, float]:
-    """All metrics by name: those of the response with and without its code, and with a prompt those against it."""
+def deictic_metrics(text: str) -> dict[str, float]:
+    """How many words point to a time or place, and how many of them have a date or "previous message" nearby."""
+    raw = text.split()
+    words = [re.sub(r"[^\w-]+", "", x).lower() for x in raw]
+    pairs = list(zip(words, words[1:], strict=False))
+    anchors = {i for i, x in enumerate(raw) if _DATE.search(x)} | {j for i, p in enumerate(pairs) if p == ("previous", "message") for j in (i, i + 1)}
+    places = [(i, i) for i, w in enumerate(words) if w in DEICTIC] + [(i, i + 1) for i, p in enumerate(pairs) if p == ("next", "week")]
+    near = sum(any(first - NEARBY <= a <= last + NEARBY for a in anchors) for first, last in places)
+    return {"deictic_terms_count": float(phrase_count(_folded(text), DEICTIC)), "deictic_resolutions_count": float(near)}
+
+
+def register_drift(text: str) -> float:
+    """How far sections under headers differ: ranges of sentence length, hedges and contractions per 100 words, added up; 0 without headers."""
+    rows = text.splitlines()
+    starts = [i for i, row in enumerate(rows) if re.match(r"#{1,6}\s", row)]
+    measured = []
+    for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+        part = "\n".join(rows[a:b]).strip()
+        n, low = len(part.split()), _folded(part)
+        rates = [100 * phrase_count(low, PHRASES[f"{x}_rate_per_100w"]) / max(1, n) for x in ("hedge", "contraction")]
+        measured.append((_ratio(n, len(sentences(part))), *rates))
+    return float(sum(max(x) - min(x) for x in zip(*measured, strict=True)))
+
+
+def persona_metrics(text: str, user: str) -> dict[str, float]:
+    """Rates per 100 words of the persona's words and of the commonest other persona's, and the register's drift; an unknown user fails."""
+    target = next((p for prefix, p in PERSONAS.items() if user.startswith(prefix)), None)
+    if target is None:
+        raise ValueError(f"no persona for user {user!r}")
+    low, n = _folded(text), max(1, len(text.split()))
+    rates = {p: 100 * phrase_count(low, words) / n for p, words in LEXICONS.items()}
+    return {"persona_lexicon_rate_per_100w": rates.pop(target), "cross_persona_contamination_per_100w": max(rates.values()), "register_drift_score": register_drift(text)}
+
+
+#: Which dimension reports which metrics, by parts of their names.
+BUCKETS = {
+    "clarity": ("header", "numbered_steps", "bullet", "tokens_per_sentence", "explicit_refs", "code_fences", "primary_solution"), "tone_style_fit": ("imperative", "hedge", "contraction", "politeness", "compression", "word_count"),
+    "workflow_fit": ("runnable", "copy_paste", "quick_checks", "questions", "prereq", "blocking"), "cognitive_load": ("tokens_per_line", "paragraph", "options", "glossary", "technical_terms", "stepsize"),
+    "context_awareness": ("constraint", "entities", "entity", "deictic"), "persona_consistency": ("persona", "register"), "friction_loss_of_control": ("obstruction", "unrequested", "offtask", "false_completion", "clusters"),
+    "reliability_user_trust": ("uncertainty", "overconfidence", "calibration", "asserts", "edge_case", "unresolved", "numeric", "vagueness"), "anthropomorphism": ("boilerplate", "ngram", "discourse", "legalistic", "symmetry", "encouragement"),
+}
+
+
+def by_dimension(metrics: dict[str, float]) -> dict[str, dict[str, float]]:
+    """Metrics under the first dimension that a part of their name belongs to."""
+    out: dict[str, dict[str, float]] = {d: {} for d in BUCKETS}
+    for name, value in metrics.items():
+        home = next((d for d, parts in BUCKETS.items() if any(p in name for p in parts)), None)
+        if home:
+            out[home][name] = value
+    return out
+
+
+def compute(text: str | None, prompt: str | None = None, user: str | None = None) -> dict[str, float]:
+    """All metrics by name: those of the response with and without its code, with a prompt those against it, with a user those of the persona."""
     text = text or ""
     out = {f"{k}_{suffix}": v for suffix, part in (("all", text), ("no_code", _FENCE.sub("", text))) for k, v in response_metrics(part).items()}
-    return out | (prompt_metrics(text, prompt) if prompt is not None else {})
+    return out | (prompt_metrics(text, prompt) | deictic_metrics(text) if prompt is not None else {}) | (persona_metrics(text, user) if user is not None else {})
 
 
-def with_metrics(df: DataFrame, response: str, prompt: str, names: Sequence[str] | None = None) -> DataFrame:
+def with_metrics(df: DataFrame, response: str, prompt: str, names: Sequence[str] | None = None, user: str | None = None) -> DataFrame:
     """``df`` without its texts, plus the map ``metrics``."""
-    def run(texts: pa.Array, prompts: pa.Array) -> pa.Array:
-        rows = [compute(t, p) for t, p in zip(texts.to_pylist(), prompts.to_pylist(), strict=True)]
+    def run(texts: pa.Array, prompts: pa.Array, *users: pa.Array) -> pa.Array:
+        who = users[0].to_pylist() if users else [None] * len(texts)
+        rows = [compute(t, p, u) for t, p, u in zip(texts.to_pylist(), prompts.to_pylist(), who, strict=True)]
         kept = [[(k, v) for k, v in row.items() if names is None or k in names] for row in rows]
         return pa.array(kept, pa.map_(pa.string(), pa.float64()))
 
-    return df.withColumn("metrics", F.arrow_udf(run, "map<string,double>")(response, prompt)).drop(response, prompt)
+    return df.withColumn("metrics", F.arrow_udf(run, "map<string,double>")(response, prompt, *([user] if user else []))).drop(response, prompt)

@@ -26,21 +26,105 @@ def with_rates(df: DataFrame) -> DataFrame:
 
 
 def pair_summary(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Outcomes of each model pair, within optional further keys."""
-    return with_rates(pairs.groupBy(*keys, *PAIR).agg(*outcome_counts(F.col("overall"))))
+    """Outcomes of each model pair, within optional further keys; with bias rates their mean, and pass@k rates where known (see ``objective_outcomes``)."""
+    counted = outcome_counts(F.col("overall"))
+    if "bias_rate" in pairs.columns:
+        counted.append(F.avg("bias_rate").alias("avg_bias_rate"))
+    for a in [c for c in pairs.columns if c.startswith("pass_a_")]:
+        counted += _pass_rates(a, a.replace("pass_a_", "pass_b_"), a.removeprefix("pass_a_"))
+    return with_rates(pairs.groupBy(*keys, *PAIR).agg(*counted))
+
+
+def _pass_rates(a: str, b: str, name: str) -> list[Column]:
+    """How often either side passes more; rows without one of the two don't count, rates without rows are null."""
+    known = F.col(a).isNotNull() & F.col(b).isNotNull()
+    total = F.count_if(known)
+    hits = {"a": F.col(a) > F.col(b), "b": F.col(b) > F.col(a), "tie": F.col(a) == F.col(b)}
+    return [total.alias(f"{name}_total"), *(F.try_divide(F.count_if(known & c), total).alias(f"{name}_rate_{s}") for s, c in hits.items())]
+
+
+def objective_rows(summary: DataFrame, dimensions: DataFrame, name: str) -> DataFrame:
+    """A dimension table with rows for a pass rate ``name`` of the pair summary: wins are rates times totals, half to even."""
+    wins = {f"n_model_{s}": F.bround(F.col(f"{name}_rate_{s}") * F.col(f"{name}_total")).cast("bigint") for s in "ab"}
+    rows = summary.where(F.col(f"{name}_total") > 0).select(*PAIR, F.lit(name).alias("dimension"), F.col(f"{name}_total").alias("total"), *(c.alias(n) for n, c in wins.items()))
+    rows = rows.withColumns({"n_tie": F.col("total") - F.col("n_model_a") - F.col("n_model_b"), "n_errors": F.lit(0).cast("bigint")})
+    return dimensions.unionByName(with_rates(rows), allowMissingColumns=True)
+
+
+def rubric_details(pairs: DataFrame, details: DataFrame, keys: Sequence[str], by: Sequence[str] = ("user_id", "variant_label")) -> DataFrame:
+    """Means and sample deviations (0 for one) of each numeric rubric detail for both models of a pair.
+
+    ``details`` has the keys, model_name and details, a map of maps of texts; what
+    is no number is left out. A comparison without details of one of its models fails.
+    """
+    packed = details.withColumn("__j", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("details", lambda k, v: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(v))))))))))
+    one = packed.groupBy(*keys, "model_name").agg(F.min("__j").alias("__lo"), F.max("__j").alias("__hi"), F.min_by("details", "__j").alias("details"))
+    clash = F.raise_error(F.lit("a model has two sets of details for one key")).cast("boolean")
+    one = one.where(F.when(F.col("__lo") == F.col("__hi"), True).otherwise(clash))
+    a = one.select(*keys, F.col("model_name").alias("model_a"), F.col("details").alias("da"))
+    b = one.select(*keys, F.col("model_name").alias("model_b"), F.col("details").alias("db"))
+    both = pairs.select(*keys, *PAIR, *[c for c in by if c not in keys]).join(a, [*keys, "model_a"], "left").join(b, [*keys, "model_b"], "left")
+    lost = F.raise_error(F.lit("a comparison lacks details of a model")).cast("map<string,map<string,string>>")
+    both = both.withColumns({c: F.coalesce(c, lost) for c in ("da", "db")})
+    rows = both.select(*by, *PAIR, "db", F.explode("da").alias("dimension", "own")).select(*by, *PAIR, "dimension", F.try_element_at("db", F.col("dimension")).alias("other"), F.explode("own").alias("detail", "x"))
+    rows = rows.select(*by, *PAIR, "dimension", "detail", F.col("x").try_cast("double").alias("row"), F.try_element_at("other", F.col("detail")).try_cast("double").alias("col")).where("row is not null and col is not null")
+    spread = lambda c: F.when(F.count(c) > 1, F.stddev_samp(c)).otherwise(0.0).alias(f"{c}_std")
+    return rows.groupBy(*by, *PAIR, "dimension", "detail").agg(F.count("*").alias("n"), F.avg("row").alias("row_mean"), spread("row"), F.avg("col").alias("col_mean"), spread("col"))
+
+
+def resolution_rate(rows: DataFrame, keys: Sequence[str], given: str | None = None) -> DataFrame:
+    """Share of resolved rows; a value that a group brings itself wins."""
+    own = F.avg(F.col("resolved").cast("double"))
+    return rows.groupBy(*keys).agg((F.coalesce(F.first(given, ignorenulls=True), own) if given else own).alias("resolution_rate"))
+
+
+def weighted_overall(scores: Column, preferred: Column, factor: float = 2.0) -> Column:
+    """Mean of a map of scores by dimension, preferred dimensions weighing ``factor``, in [0, 1]; null without scores."""
+    entries = F.filter(F.map_entries(scores), lambda e: e["value"].isNotNull())
+    weight = lambda e: F.when(F.array_contains(F.coalesce(preferred, F.array().cast("array<string>")), e["key"]), factor).otherwise(1.0)
+    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + weight(e) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["value"])))
+    return F.try_divide(total, F.aggregate(entries, F.lit(0.0), lambda s, e: s + weight(e)))
+
+
+def components(breakdowns: Column, part: str) -> Column:
+    """Map of one component (judge or rubric) by dimension from a map of structs."""
+    return F.map_filter(F.transform_values(breakdowns, lambda k, v: v["components"][part]), lambda k, v: v.isNotNull())
+
+
+def persona_labels(df: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Adds each user's persona, or unknown."""
+    labels = profiles.select("user_id", F.col("user_profile_type").alias("persona_label")).dropDuplicates(["user_id"])
+    return df.join(labels, "user_id", "left").withColumn("persona_label", F.coalesce("persona_label", F.lit("unknown")))
+
+
+def with_user_ids(objective: DataFrame, subjective: DataFrame, default: str | None = None) -> DataFrame:
+    """user_id of results from scores of the same task and variant, then ``default``."""
+    known = subjective.where("user_id is not null").groupBy("task_id", "variant_id").agg(F.min("user_id").alias("__user"))
+    own = [F.col("user_id")] if "user_id" in objective.columns else []
+    return objective.join(known, ["task_id", "variant_id"], "left").withColumn("user_id", F.coalesce(*own, "__user", F.lit(default))).drop("__user")
+
+
+def objective_lookup(objective: DataFrame, order: Sequence[str], ks: Sequence[int] = (1, 5)) -> DataFrame:
+    """One row for each sample, variant and model: pass@k overall, else base, else plus, and plus pass@1 apart; a later row's value wins if it isn't null."""
+    at = F.struct(*order)
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), at))
+    chosen = {f"pass_at_{k}": F.coalesce(*[F.col(f"obj_{p}_pass_at_{k}") for p in ("overall", "base", "plus")]) for k in ks}
+    return objective.groupBy("sample_key", "variant_label", "model_name").agg(*[last(c).alias(n) for n, c in chosen.items()], last(F.col("obj_plus_pass_at_1")).alias("plus_pass_at_1"))
 
 
 def pair_summary_sets(pairs: DataFrame, axes: Sequence[str] = ("user_id", "judge_model_name", "variant_label")) -> DataFrame:
     """Pair summaries for every combination of axes at once; an axis that a row sums over reads ``all``."""
-    out = pairs.select(*PAIR, *axes, "overall").cube(*PAIR, *axes)
-    out = out.agg(*outcome_counts(F.col("overall")), *(F.grouping(c).alias(f"__{c}") for c in (*PAIR, *axes)))
-    out = out.where("__model_a = 0 and __model_b = 0").withColumns({c: F.when(F.col(f"__{c}") == 1, "all").otherwise(F.col(c)) for c in axes})
-    return with_rates(out.drop(*(f"__{c}" for c in (*PAIR, *axes))))
+    finest = pairs.groupBy(*PAIR, *axes).agg(*outcome_counts(F.col("overall")))  # each comparison is counted once, its counts are spread
+    every = [F.array(F.lit("all"), F.col(c)) for c in axes]
+    for c, both in zip(axes, every, strict=True):
+        finest = finest.withColumn(c, F.explode(both))
+    sums = ["total", *(f"n_{s}" for s in SIDES)]
+    return with_rates(finest.groupBy(*PAIR, *axes).agg(*(F.sum(c).alias(c) for c in sums)))
 
 
 def weighted_pair_summary(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Rates as means of each user's rates, by weights (user_id, weight) above 0."""
-    per_user = pair_summary(pairs, ["user_id"]).join(F.broadcast(weights.where("weight > 0")), "user_id")
+    per_user = pair_summary(pairs, ["user_id"]).join(weights.where("weight > 0"), "user_id")
     return per_user.groupBy(*PAIR).agg(F.sum("total").alias("total"), *(F.try_divide(F.sum(F.col("weight") * F.col(f"rate_{s}")), F.sum("weight")).alias(f"rate_{s}") for s in SIDES))
 
 
@@ -177,5 +261,5 @@ def joint_long(rows: DataFrame, keys: Sequence[str] = ("user_id", "variant_label
 
 def weighted_joint(joint: DataFrame, weights: DataFrame) -> DataFrame:
     """Win rates of ordered pairs over personas by weight; weights of 0 or less take no part."""
-    rows = joint.join(F.broadcast(weights.where("weight > 0")), "user_id")
+    rows = joint.join(weights.where("weight > 0"), "user_id")
     return rows.groupBy("variant_label", "row_model", "col_model").agg(F.count("*").alias("n_personas"), F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("win_rate")), F.sum("weight")), F.lit(0.5)).alias("win_rate"))

@@ -36,27 +36,32 @@ def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str], las
     return rows.groupBy(*key).agg((F.max(packed) if last else F.min(packed)).alias("r")).select(*key, *(f"r.{c}" for c in [*order, *rest]))
 
 
-def stride(rows: DataFrame, order: str, step: int, offset: int = 0) -> DataFrame:
-    """Every ``step``-th row by a unique ``order`` from ``offset`` on.
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds each row's place (from 1) by a unique ``order``.
 
     Places are counted without one task for all: rows are dealt into ranges of
     ``order``, each range is numbered by itself, and the counts of the ranges
-    before it are added.
+    before it, a row each, are added.
     """
     parts = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1).join(F.broadcast(before), "__part")
-    at = F.col("__before") + F.col("__row") - offset
-    return placed.where((at >= 0) & (at % step == 0)).drop("__part", "__n", "__before", "__row")
+    placed = parts.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(order))).join(F.broadcast(before), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col(name)).drop("__part", "__n", "__before")
+
+
+def stride(rows: DataFrame, order: str, step: int, offset: int = 0) -> DataFrame:
+    """Every ``step``-th row by a unique ``order`` from ``offset`` on."""
+    at = F.col("__at") - 1 - offset
+    return numbered(rows, order, "__at").where((at >= 0) & (at % step == 0)).drop("__at")
 
 
 def equal_allocation(rows: DataFrame, strata: Sequence[str], per_stratum: int, order: str) -> DataFrame:
-    """The first ``per_stratum`` rows, by a hash of ``order``, of each combination of observed values; a combination with fewer fails."""
-    own = Window.partitionBy(*strata).orderBy(F.crc32(F.col(order).cast("string").cast("binary")), order)
-    sized = rows.withColumns({"__at": F.row_number().over(own), "__n": F.count("*").over(Window.partitionBy(*strata))})
-    short = F.raise_error(F.lit("a stratum has too few rows")).cast("boolean")
-    return sized.where(F.when(F.col("__n") >= per_stratum, F.col("__at") <= per_stratum).otherwise(short)).drop("__at", "__n")
+    """The first ``per_stratum`` rows, by a hash of ``order``, of each combination of the observed values of ``strata``; one with fewer rows, or none, fails."""
+    from quillon.operators.study import equal_allocation as allocate
+    from quillon.operators.study import strata_of
+
+    return allocate(rows, strata, per_stratum * strata_of(rows, strata).count(), 0, [order])
 
 
 def without_prior(rows: DataFrame, prior: DataFrame, key: str, protected: DataFrame | None = None) -> DataFrame:
@@ -68,10 +73,10 @@ def without_prior(rows: DataFrame, prior: DataFrame, key: str, protected: DataFr
 
 
 def interleave(frames: Sequence[DataFrame], order: str) -> DataFrame:
-    """Round robin over frames: each row's place in its own frame, then the frame."""
+    """Round robin over frames: each row's place in its own frame, then the frame. Places are counted by ranges, as in ``stride``."""
     out = None
     for i, df in enumerate(frames):
-        own = df.withColumns({"source_index": F.lit(i), "round": F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(order))})
+        own = numbered(df, order, "round").withColumn("source_index", F.lit(i))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
 

@@ -94,7 +94,7 @@ def recompute_overall(pairs: DataFrame, mode: str = "ignore", omit: Sequence[str
     out = pairs.withColumn("__kept", kept)
     if weights is not None:
         own = weights.groupBy(F.col("user_id").alias("__user")).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "weight"))).alias("__weights"))
-        out = out.join(F.broadcast(own), F.col("user_id") == F.col("__user"), "left").drop("__user")
+        out = out.join(own, F.col("user_id") == F.col("__user"), "left").drop("__user")
     one = F.lit(1.0)
     weight = (lambda d: F.coalesce(F.try_element_at("__weights", d), one)) if weights is not None else (lambda d: one)
     total = lambda side: F.aggregate(F.map_entries("__kept"), F.lit(0.0), lambda s, e: s + F.when(e["value"] == side, weight(e["key"])).otherwise(0.0))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillon.functions.normalize import artifact_name, missing
 
@@ -29,17 +30,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, rename:
 def read_artifacts(spark: SparkSession, path: str, schema: str, recursive: bool = True, pattern: str = "*.json*") -> DataFrame:
     """Records of all artifacts below ``path`` with their place: file_path, modified, artifact_index.
 
-    ``.jsonl`` files hold a record a line; other files hold an array, an object
-    that wraps one (results, profiles, samples) or a bare object.
+    ``.jsonl`` files hold a record a line and are split like any text; other
+    files hold an array, an object that wraps one (results, profiles, samples) or
+    a bare object, and are read whole. A record that isn't JSON fails.
     """
-    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True)
-    files = files.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"))
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    whole = F.coalesce(*[F.get_json_object("value", f"$.{w}") for w in WRAPPERS], F.col("value"))
-    whole = F.when(F.trim(whole).startswith("["), whole).otherwise(F.concat(F.lit("["), whole, F.lit("]")))
-    listed = F.when(F.col("file_path").endswith(".jsonl"), F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))).otherwise(whole)
-    rows = files.select("file_path", "modified", F.posexplode(F.from_json(listed, f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("artifact_index", "record"))
-    return rows.select("file_path", "modified", "artifact_index", "record.*")
+    source = spark.read.option("recursiveFileLookup", recursive)
+    place = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified")]
+    lined = source.option("pathGlobFilter", f"{pattern.rstrip('*')}l" if pattern.endswith(".json*") else pattern)
+    lines = lined.text(path).select("value", *place, F.col("_metadata.file_block_start").alias("start")).where("file_path like '%.jsonl' and trim(value) <> ''")
+    own = F.from_json("value", f"struct<{schema}>", {"mode": "FAILFAST"})
+    at = Window.partitionBy("file_path").orderBy("start", "line")
+    rows = lines.withColumn("line", F.monotonically_increasing_id()).select("file_path", "modified", (F.row_number().over(at) - 1).cast("bigint").alias("artifact_index"), own.alias("record"))
+    whole = source.option("pathGlobFilter", pattern).text(path, wholetext=True).select("value", *place).where("file_path not like '%.jsonl'")
+    listed = F.coalesce(*[F.get_json_object("value", f"$.{w}") for w in WRAPPERS], F.col("value"))
+    listed = F.when(F.trim(listed).startswith("["), listed).otherwise(F.concat(F.lit("["), listed, F.lit("]")))
+    items = whole.select("file_path", "modified", F.posexplode(F.from_json(listed, f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("artifact_index", "record"))
+    both = items.withColumn("artifact_index", F.col("artifact_index").cast("bigint")).unionByName(rows)
+    return both.select("file_path", "modified", "artifact_index", "record.*")
 
 
 def path_fields(path: Column, fields: dict[str, str]) -> dict[str, Column]:
@@ -70,10 +77,15 @@ def read_survey(spark: SparkSession, path: str) -> DataFrame:
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}__{seen[name]}")
     rows = raw.toDF(*names)
-    first = F.col(f"`{names[0]}`")
-    imports = F.exists(F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]), lambda x: x.startswith('{"ImportId"'))
-    same = first.eqNullSafe(F.lit(header[0]))
-    done = rows.where(~imports & ~same)
+    # Up to two more rows describe the columns: those before, and the one that holds, the import ids.
+    top = raw.limit(3).collect()
+    ids = next((i for i, row in enumerate(top) if any((x or "").startswith('{"ImportId"') for x in row)), 0)
+    done = rows
+    for row in top[: ids + 1]:
+        is_it = F.lit(True)
+        for n, x in zip(names, row, strict=True):
+            is_it = is_it & F.col(f"`{n}`").eqNullSafe(F.lit(x))
+        done = done.where(~is_it)
     return done.withColumns({n: missing(F.col(f"`{n}`")) for n in names})
 
 
