@@ -26,7 +26,7 @@ K, S = 32, 4
 #: Anchors within so many bytes of one offset agree in position: insertions shift what follows.
 SLACK = 64
 #: Bytes of text in a range of doc_ids, and ranges at most (a range is read as a stream).
-PART_BYTES, PARTS = 64 << 20, 10_000
+PART_BYTES, PARTS = 16 << 20, 10_000
 _ANCHOR = np.dtype([("hash", ">u8"), ("gap", "u1")])
 
 
