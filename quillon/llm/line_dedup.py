@@ -16,10 +16,11 @@ A line goes if any earlier line is near, so a key that many lines share (a form
 letter's half, say) need not bring all pairs together: all its lines meet the
 earliest of them, and only those that this leaves without an earlier near line are
 dealt again, by all of the line but as many small stretches as there may be edits.
-There the same is done once more, and what it leaves meets under the symbols inside
-the stretches with as many left out as there may be edits: lines that agree so far
-are nearly always near. Texts move only for lines and documents that a bitmap of
-fixed size names.
+There the same is done once more; lines of up to STRETCHES symbols that agree so
+far differ in no more symbols than allowed. What is left then (more than
+MANY_MASKED longer lines that agree in all but those stretches, and aren't near the
+earliest of them) is compared in pairs. Texts move only for lines and documents
+that a bitmap of fixed size names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import marked, named, release, salted_join, stored
 
-#: Lines under one key from which only the earliest meets them all, and stretches of a line by edits.
-MANY, STRETCHES = 8, {1: 32, 2: 16}
+#: Lines under one key, of segments and of masks, beyond which only the earliest meets them all, and stretches of a line by edits.
+MANY, MANY_MASKED, STRETCHES = 8, 32, {1: 32, 2: 16}
 _TRIMMED = "if(startswith(trim(x), '\t') or startswith(trim(x), '\r') or endswith(trim(x), '\t') or endswith(trim(x), '\r'), trim(BOTH ' \t\r' FROM x), trim(x))"
 
 
@@ -77,10 +78,10 @@ def mask_specs(most: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def _keyed(lines: DataFrame, specs: F.Column, key: str, allowed, *more: str) -> DataFrame:
-    """(id, key, own) and ``more``: the keys of lines (id, n, by_word and what ``key`` reads) under the specs whose edits the shorter length allows."""
+def _keyed(lines: DataFrame, specs: F.Column, key: str, allowed) -> DataFrame:
+    """(id, key, own): the keys of lines (id, n, by_word and what ``key`` reads) under the specs whose edits the shorter length allows."""
     rows = lines.withColumn("s", F.explode(specs)).where(F.expr(f"s.less < n and s.edits = {allowed('n - s.less')}"))
-    return rows.select("id", F.expr(key).alias("key"), F.expr("s.less = 0 and s.shift = 0").alias("own"), *more)
+    return rows.select("id", F.expr(key).alias("key"), F.expr("s.less = 0 and s.shift = 0").alias("own"))
 
 
 def _segment_key() -> str:
@@ -95,17 +96,6 @@ def _mask_key() -> str:
     return f"xxhash64(by_word, n - s.less, s.edits, s.j, s.k, slice(h, 1, {at('s.j')}), {middle}, slice(h, {at('s.k + 1')} + s.less + 1, n - s.less - {at('s.k + 1')}))"
 
 
-def _inside(masks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, key, own): for rows (id, key, own, s) of masks, keys of what the line has inside the stretches but for as many symbols as there may be edits."""
-    parts = f"if(s.edits = 1, {STRETCHES[1]}, {STRETCHES[2]})"
-    at = lambda i: _even("n - s.less", i, parts)
-    one = f"slice(h, {at('s.j')} + 1, {at('s.j + 1')} + s.less - {at('s.j')})"
-    two = f"concat(slice(h, {at('s.j')} + 1, {at('s.j + 1')} + s.shift - {at('s.j')}), slice(h, {at('s.k')} + s.shift + 1, {at('s.k + 1')} + s.less - {at('s.k')} - s.shift))"
-    rows = masks.join(lines.select("id", "n", "h"), "id").select("id", "key", "own", "s.edits", F.expr(f"inline(array(named_struct('c', if(s.j = s.k, {one}, {two}))))"))
-    gone = "transform(sequence(0, size(c)), p -> transform(if(edits = 1, array(p), sequence(p, size(c))), q -> xxhash64(key, filter(c, (x, i) -> i <> p and i <> q))))"
-    return rows.select("id", "own", F.explode(F.expr(f"array_distinct(flatten({gone}))")).alias("key")).select("id", "key", "own")
-
-
 def _banded(a: str, b: str, edits: int) -> str:
     """SQL: edit distance of arrays, exact up to ``edits``; ``a`` has at least ``edits`` symbols and no more than ``b``.
 
@@ -167,14 +157,14 @@ class _Join:
         both = salted_join(salted_join(pairs, a, "ia", "ib"), b, "ib", "ia", pairs).where("wa = wb").withColumnRenamed("wa", "by_word")
         return verified(both, self.allowed("size(sa)"), self.most)
 
-    def meet(self, keyed: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(pairs, heavy) of a stored table (id, key, own): all pairs under light keys, each line with the earliest under heavy ones.
+    def meet(self, keyed: DataFrame, many_from: int, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pairs, heavy) of a stored table (id, key, own): all pairs under keys of up to ``many_from`` lines, each line with the earliest under heavy ones.
 
-        heavy has the rows of heavy keys but the earliest, which has met all, with
-        all their columns. With ``wanted`` (id), only pairs under light keys that hold one of these ids are made.
+        heavy has the rows of heavy keys but the earliest, which has met all. With
+        ``wanted`` (id), only pairs under light keys that hold one of these ids are made.
         """
         own = keyed.where("own").select("id", "key")
-        many = stored(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("key"), "many")
+        many = stored(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many_from).select("key"), "many")
         heavy = keyed.join(many, "key", "left_semi")
         light = own.join(many, "key", "left_anti").withColumnRenamed("id", "ia").join(keyed.select(F.col("id").alias("ib"), "key", "own"), "key")
         light = light.where("if(own, ia < ib, ia <> ib)").select("ia", "ib")
@@ -188,7 +178,7 @@ class _Join:
         first = heavy.where("own").join(places, "id").groupBy("key").agg(F.min(F.struct("place", "id")).alias("f")).select("key", F.col("f.id").alias("ia"))
         stars = stored(salted_join(heavy, first, "key", "id").where("ia <> id"), "stars")
         release(heavy)
-        return light.unionByName(stars.select("ia", F.col("id").alias("ib"))), stars.drop("ia")
+        return light.unionByName(stars.select("ia", F.col("id").alias("ib"))), stars.select("id", "key", "own")
 
     def found(self) -> DataFrame:
         """(id) of lines with an earlier near line."""
@@ -200,30 +190,22 @@ class _Join:
         probes = _keyed(sized, _specs([s for s in specs if s[1] or s[3]], names), key, self.allowed)
         probes = marked(probes, "key", named(own, "key")).where("__named").drop("__named").distinct()
         keyed = stored(own.unionByName(probes), "keys")
-        pairs, heavy = self.meet(keyed)
+        pairs, heavy = self.meet(keyed, MANY)
         near = self.near(pairs)
         parts = [near]
         rest = stored(heavy.join(near, "id", "left_anti"), "rest")
         if not rest.isEmpty():
             around = stored(heavy.join(rest.select("key").distinct(), "key", "left_semi").select("id").distinct(), "around")
             hashed = marked(sized, "id", named(around, "id")).where("__named").drop("__named").dropDuplicates(["id"]).join(around, "id", "left_semi")
-            hashed = stored(hashed, "hashed")
-            masks = stored(_keyed(hashed, _specs(mask_specs(self.most), "edits less j k shift"), _mask_key(), self.allowed, "s"), "masks")
-            pairs, heavy = self.meet(masks, rest)
+            masks = stored(_keyed(hashed, _specs(mask_specs(self.most), "edits less j k shift"), _mask_key(), self.allowed), "masks")
+            pairs, heavy = self.meet(masks, MANY_MASKED, rest)
             parts.append(self.near(pairs))
             left = stored(heavy.join(rest.select("id").distinct(), "id", "left_semi").join(parts[1], "id", "left_anti"), "left")
             if not left.isEmpty():
-                inside = stored(_inside(heavy.join(left.select("key").distinct(), "key", "left_semi"), hashed).distinct(), "inside")
-                pairs, heavy = self.meet(inside, left)
-                parts.append(self.near(pairs))
-                last = stored(heavy.join(left.select("id").distinct(), "id", "left_semi").join(parts[2], "id", "left_anti"), "last")
-                if not last.isEmpty():
-                    rows = heavy.select("id", "key", "own")
-                    pairs = rows.where("own").toDF("ia", "key", "own").join(last.select(F.col("id").alias("ib"), "key"), "key")
-                    pairs = pairs.select("ia", "ib").unionByName(last.where("own").select(F.col("id").alias("ia"), "key").join(rows.select(F.col("id").alias("ib"), "key"), "key").select("ia", "ib"))
-                    parts.append(self.near(pairs.where("ia <> ib")))
-                release(inside, last)
-            release(masks, around, left, hashed)
+                pairs = heavy.where("own").select(F.col("id").alias("ia"), "key").join(left.select(F.col("id").alias("ib"), "key"), "key").select("ia", "ib")
+                pairs = pairs.unionByName(left.where("own").select(F.col("id").alias("ia"), "key").join(heavy.select(F.col("id").alias("ib"), "key"), "key").select("ia", "ib"))
+                parts.append(self.near(pairs.where("ia <> ib")))
+            release(masks, around, left)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

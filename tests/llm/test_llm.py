@@ -139,6 +139,7 @@ def repeated_places(rows, most, per_word=10, per_char=24):
 @pytest.mark.parametrize("most,many", [(1, 32), (2, 32), (2, 3)])
 def test_lines_near_earlier_ones(spark, monkeypatch, most, many):
     monkeypatch.setattr(line_dedup, "MANY", many)
+    monkeypatch.setattr(line_dedup, "MANY_MASKED", many)
     rng = random.Random(10 * most + many)
 
     def edited(symbols):
