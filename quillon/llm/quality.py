@@ -61,8 +61,8 @@ def index_vectors(seed: int) -> np.ndarray:
     return out
 
 
-def _context(entries: tuple[np.ndarray, np.ndarray], buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the neighbours' index vectors for each bucket, and how many there were, as integers; rows don't touch."""
+def _context(entries: tuple[np.ndarray, np.ndarray], buckets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, sums, counts): sums of the neighbours' index vectors of each bucket that has any, and how many there were, as integers; rows don't touch."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     mine, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, REACH + 1):
@@ -71,10 +71,11 @@ def _context(entries: tuple[np.ndarray, np.ndarray], buckets: np.ndarray, bounds
         mine += [left, right]
         other += [right, left]
     own, near = np.concatenate(mine), np.concatenate(other)
-    total = np.zeros(BUCKETS * DIMS)
+    cells, cell = np.unique(own, return_inverse=True)
+    total = np.zeros((len(cells), DIMS), np.int64)
     for i in range(NONZERO):
-        total += np.bincount(own * DIMS + entries[0][near, i], entries[1][near, i], BUCKETS * DIMS)
-    return total.astype(np.int64).reshape(BUCKETS, DIMS), np.bincount(own, minlength=BUCKETS)
+        total += np.bincount(cell * DIMS + entries[0][near, i], entries[1][near, i], len(cells) * DIMS).astype(np.int64).reshape(-1, DIMS)
+    return cells, total, np.bincount(cell, minlength=len(cells))
 
 
 def _gathered(columns, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,12 +84,12 @@ def _gathered(columns, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     sums = [(np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)) for _ in range(2)]
     for column in columns:
         raw, offsets = buffer_of(column)
-        for a, b in pieces(offsets, 4 << 20):
+        for a, b in pieces(offsets, 1 << 19):
             *kinds, bounds = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for own, fixed, buckets in zip(sums, entries, kinds, strict=True):
-                total, seen = _context(fixed, buckets, bounds)
-                own[0][:] += total
-                own[1][:] += seen
+                at, total, seen = _context(fixed, buckets, bounds)
+                own[0][at] += total
+                own[1][at] += seen
     return sums
 
 
