@@ -166,7 +166,7 @@ def register_drift(text: str) -> float:
     rows = text.splitlines()
     starts = [i for i, row in enumerate(rows) if re.match(r"#{1,6}\s", row)]
     measured = []
-    for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+    for a, b in zip(starts, [*starts[1:], len(rows)], strict=False):
         part = "\n".join(rows[a:b]).strip()
         n, low = len(part.split()), _folded(part)
         rates = [100 * phrase_count(low, PHRASES[f"{x}_rate_per_100w"]) / max(1, n) for x in ("hedge", "contraction")]
