@@ -84,22 +84,29 @@ def proportion_intervals(df: DataFrame, k: str, n: str, resamples: int = 1000, s
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Exact interval of a proportion, by halving on the binomial tails."""
-    from math import exp, lgamma, log
-
-    def at_least(p: float) -> float:
-        if p <= 0:
-            return float(k == 0)
-        if p >= 1:
-            return 1.0
-        return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k, n + 1))
-
-    def at_most(p: float) -> float:
-        if p <= 0:
-            return 1.0
-        if p >= 1:
-            return float(k == n)
-        return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k + 1))
+    """Exact interval of a proportion, by halving on the binomial tails.
+
+    A tail is an incomplete beta function, whose continued fraction takes some
+    sqrt(n) steps where the sum of its terms takes n.
+    """
+    from math import exp, lgamma, log, log1p
+
+    def beta(a: int, b: int, x: float) -> float:
+        """I_x(a, b), the chance of at least a successes in a + b - 1 trials."""
+        if x <= 0 or x >= 1:
+            return float(x >= 1)
+        if x > (a + 1) / (a + b + 2):
+            return 1.0 - beta(b, a, 1.0 - x)
+        least = 1e-300
+        c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1)) or least)
+        value, m, step = d, 0, 0.0
+        while abs(step - 1.0) > 1e-15 and m < 100 + 20 * (a + b) ** 0.5:
+            m += 1
+            for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                c, d = (1.0 + term / c) or least, 1.0 / ((1.0 + term * d) or least)
+                step = c * d
+                value *= step
+        return value / a * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
 
     def solve(tail, rising: bool) -> float:
         lo, hi = 0.0, 1.0
@@ -108,4 +115,5 @@ def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
             lo, hi = (mid, hi) if (tail(mid) < (1 - level) / 2) == rising else (lo, mid)
         return (lo + hi) / 2
 
-    return (0.0 if k == 0 else solve(at_least, True)), (1.0 if k == n else solve(at_most, False))
+    low = 0.0 if k == 0 else solve(lambda p: beta(k, n - k + 1, p), True)
+    return low, 1.0 if k == n else solve(lambda p: beta(n - k, k + 1, 1 - p), False)

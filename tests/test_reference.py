@@ -62,6 +62,19 @@ def test_clopper_pearson():
     assert low == 0 and high == pytest.approx(0.30849710781876)
 
 
+def test_clopper_pearson_of_millions():
+    from math import comb
+    from time import process_time
+
+    began = process_time()
+    low, high = I.clopper_pearson(1_500_000, 3_000_000)
+    assert (low, high) == (pytest.approx(0.4994340406950757, abs=1e-9), pytest.approx(1 - 0.4994340406950757, abs=1e-9)) and process_time() - began < 5
+    for k, n in ((1, 7), (6, 7), (30, 57), (200, 400)):  # the tails at the ends are what the level leaves
+        low, high = I.clopper_pearson(k, n)
+        tail = lambda p, at: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in at)  # noqa: B023, E731
+        assert tail(low, range(k, n + 1)) == pytest.approx(0.025) and tail(high, range(k + 1)) == pytest.approx(0.025)
+
+
 def test_text(spark):
     assert one(spark, repeated_grams(F.lit("a b c d a b c d"))) == pytest.approx(1 / 5)
     m = compute("# One\n# One\nWhat input? Do you need it? it depends", "must use `foo_bar`")
