@@ -262,6 +262,17 @@ def test_chroma_noisy_bytes(spark):
     assert all(got.get((50 * i, 50 * i + 1)) == (32, 0.125) and got.get((50 * i, 50 * i)) == (32, 0.0) for i in range(20))
 
 
+def test_chroma_spread_errors(spark):
+    rng = np.random.default_rng(9)
+    values = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (16, 17, 23, 40, 57, 90)]
+    # A bit of each byte is wrong: a bit error of exactly 0.125 without one byte in common, at an offset and in prints of several lengths.
+    wrong = [np.concatenate([rng.integers(0, 1 << 32, i, dtype=np.uint32), v ^ np.uint32(0x01204002)]) for i, v in enumerate(values)]
+    past = [v ^ np.uint32(0x01204003) for v in values]
+    rows = [(50 * i + k, x.tobytes()) for k, some in enumerate((values, wrong, past)) for i, x in enumerate(some)]
+    got = {(r["query_id"], r["match_id"]): (r["frame_offset"], r["hits"], r["bit_error"]) for r in chroma.search(spark.createDataFrame(rows, "id long, print binary")).collect()}
+    assert all(got.get((50 * i, 50 * i + 1)) == (-i, 0, 0.125) and (50 * i, 50 * i + 2) not in got for i in range(6))
+
+
 def test_chroma_second_refrain(spark):
     rng = np.random.default_rng(7)
     verse, refrain, last = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (30, 80, 60))
