@@ -8,9 +8,9 @@ lines of one kind within the threshold t share one of t + 1 even segments of the
 shorter one, at nearly the same place. Every distinct line puts its own segments
 into an index, under (length, segment number, hash of the segment); it probes the
 index of each length from its own down to t less with the few of its stretches
-that can match there. Lines that meet are verified with a banded bit-parallel edit
-distance, first on 32-bit hashes of the symbols, which stand in a table of the
-lines, then on the symbols themselves.
+that can match there. Lines that meet are verified once, with a banded bit-parallel
+edit distance on their symbols; the table of the lines has the text of those that
+allow an edit, so that no document is read again for it.
 
 A line goes if any earlier line is near, so a key that many lines share (a form
 letter's half, say) need not bring all pairs together: all its lines meet the
@@ -25,6 +25,8 @@ that a bitmap of fixed size names.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def _allowed(length: str, most: int, per_word: int, per_char: int) -> str:
 
 
 def _specs(rows: list[tuple], names: str) -> F.Column:
-    """A literal array of structs of integers."""
-    return F.array(*[F.struct(*[F.lit(int(v)).alias(n) for v, n in zip(row, names.split(), strict=True)]) for row in rows])
+    """An array of structs of integers: one string for the analyzer, a literal after folding."""
+    fields = ", ".join(f"{n}: int" for n in names.split())
+    return F.from_json(F.lit(json.dumps([dict(zip(names.split(), row, strict=True)) for row in rows])), f"array<struct<{fields}>>")
 
 
 def segment_specs(most: int) -> list[tuple[int, int, int, int]]:
@@ -124,39 +127,36 @@ def verified(pairs: DataFrame, edits: str, most: int) -> DataFrame:
 
 
 class _Join:
-    """The near join over ``lines(place, line)`` of one call; ``table`` has (place, id, check, by_word, n, h), h hashes of the n symbols."""
+    """The near join over ``lines(place, line)`` of one call.
+
+    ``table`` has (place, id, check, by_word, n, line, h), n symbols and their
+    hashes h; line and h are null where n allows no edit.
+    """
 
     def __init__(self, lines: DataFrame, most: int, per_word: int, per_char: int) -> None:
-        self.lines, self.most, self.per_word = lines, most, per_word
+        self.most, self.per_word = most, per_word
         self.allowed = lambda n: _allowed(n, most, per_word, per_char)
-        # Generators make columns of what is read more than once, which the optimizer would else compute anew each time.
+        # A generator makes a column of what is read more than once, which the optimizer would else compute anew each time.
         rows = lines.select("place", *_ids(), "line", F.expr("inline(array(named_struct('words', split(line, ' '))))"))
-        rows = rows.select("place", "id", "check", F.expr(f"size(words) >= {per_word}").alias("by_word"), F.expr(f"inline(array(named_struct('h', transform(if(size(words) >= {per_word}, words, split(line, '')), x -> hash(x)))))"))
-        self.table = stored(rows.select("place", "id", "check", "by_word", F.size("h").alias("n"), "h"), "lines")
+        rows = rows.withColumn("by_word", F.expr(f"size(words) >= {per_word}")).withColumn("n", F.expr("if(by_word, size(words), length(line))"))
+        some = F.expr(self.allowed("n")) > 0
+        h = F.expr("transform(if(by_word, words, split(line, '')), x -> hash(x))")
+        self.table = stored(rows.select("place", "id", "check", "by_word", "n", F.when(some, F.col("line")).alias("line"), F.when(some, h).alias("h")), "lines")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """(id) of the later line of each pair (ia, ib) that is within the edits; ia is no longer than ib."""
         met = stored(pairs.distinct(), "met")
-        like = self._verified(met, self.table.select("id", "place", "by_word", F.col("h").alias("s")))
-        like = stored(like.select("ia", "ib", "pa", "pb"), "like")
-        symbols = f"if(size(split(line, ' ')) >= {self.per_word}, split(line, ' '), split(line, ''))"
-        texts = self.lines.select("place", _ids()[0], "line")
-        texts = texts.withColumns({"by_word": F.expr(f"size(split(line, ' ')) >= {self.per_word}"), "s": F.expr(symbols)})
-        near = self._verified(like.select("ia", "ib"), texts)
+        ids = met.select("ia").distinct().union(met.select("ib").distinct()).toDF("id")
+        own = marked(self.table.select("id", "place", "by_word", "line"), "id", named(ids, "id")).where("__named")
+        own = own.groupBy("id").agg(F.min("place").alias("place"), F.first("by_word").alias("by_word"), F.first("line").alias("line"))
+        own = stored(own.select("id", "place", "by_word", F.expr("if(by_word, split(line, ' '), split(line, ''))").alias("s")), "symbols")
+        a, b = (own.select(F.col("id").alias(f"i{x}"), F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"), F.col("by_word").alias(f"w{x}")) for x in "ab")
+        both = salted_join(salted_join(met, a, "ia", "ib"), b, "ib", "ia", met).where("wa = wb").withColumnRenamed("wa", "by_word")
         later = F.when(F.struct("pa", "ia") > F.struct("pb", "ib"), F.col("ia")).otherwise(F.col("ib"))
-        out = stored(near.select(later.alias("id")).distinct(), "near")
-        release(met, like)
+        out = stored(verified(both, self.allowed("size(sa)"), self.most).select(later.alias("id")).distinct(), "near")
+        release(met, own)
         return out
 
-    def _verified(self, pairs: DataFrame, lines: DataFrame) -> DataFrame:
-        """The pairs of a stored table whose symbols ``s`` are within the edits, with the lines' earliest places as pa and pb."""
-        ids = pairs.select("ia").distinct().union(pairs.select("ib").distinct()).toDF("id")
-        own = marked(lines, "id", named(ids, "id")).where("__named").groupBy("id").agg(F.min("place").alias("place"), F.first("by_word").alias("by_word"), F.first("s").alias("s"))
-        own = stored(own, "symbols")
-        a, b = (own.select(F.col("id").alias(f"i{x}"), F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"), F.col("by_word").alias(f"w{x}")) for x in "ab")
-        both = salted_join(salted_join(pairs, a, "ia", "ib"), b, "ib", "ia", pairs).where("wa = wb").withColumnRenamed("wa", "by_word")
-        return verified(both, self.allowed("size(sa)"), self.most)
-
     def meet(self, keyed: DataFrame, many_from: int, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(pairs, heavy) of a stored table (id, key, own): all pairs under keys of up to ``many_from`` lines, each line with the earliest under heavy ones.
 

@@ -169,6 +169,23 @@ def test_form_letters_make_few_candidates(spark, monkeypatch):
         assert line_dedup.repeated(df, 1).count() == gone and sum(made_pairs) <= 1000
 
 
+def test_lines_are_verified_without_their_documents(spark, monkeypatch):
+    made, stored = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: made.append(name) or stored(df, name))
+    line = "one two three four five six seven eight nine {} eleven twelve"
+    df = spark.createDataFrame([(1, 0, f"{line.format('ten')}\nshort"), (2, 0, f"{line.format('TEN')}\nshort")], "doc long, own long, text string")
+    join = line_dedup._Join(df.select(F.struct("doc", "own", F.lit(0).alias("pos")).alias("place"), F.explode(F.split("text", "\n")).alias("line")), 2, 10, 24)
+    assert {(r["n"], r["line"] is None, r["h"] is None) for r in join.table.collect()} == {(12, False, False), (5, True, True)}
+    assert join.found().count() == 1 and made.count("symbols") == made.count("met") == 1 and "like" not in made
+
+
+@pytest.mark.parametrize("specs,names", [(line_dedup.segment_specs(2), "edits less segment shift"), (line_dedup.mask_specs(2), "edits less j k shift")])
+def test_specs_are_folded(spark, specs, names):
+    df = spark.range(1).withColumn("s", F.explode(line_dedup._specs(specs, names)))
+    assert [tuple(r) for r in df.select("s.*").collect()] == specs
+    assert "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_dedup(spark, odd, empty):
     lines = ["alpha beta gamma delta epsilon", "alpha beta gamma delta epsilom", "alpha beta gamma delta epsilon zeta eta", "short"]
     df = spark.createDataFrame([(1, f"{lines[0]}\n\n{lines[3]}"), (2, f"{lines[1]}\n{lines[2]}\n{lines[3]}"), (3, f"  {lines[0]}\n\n{lines[2]}\n{lines[2]}"), (4, None)], "doc_id long, text string")
