@@ -401,6 +401,16 @@ def test_shared_folder_on_a_cluster(spark, monkeypatch):
         shared.shared_dir(Session)
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(shared, "collect", lambda s: done.append(s))
+    for _ in range(2 * shared.COLLECT):
+        shared.release(shared.stored(spark.range(1), "small"))
+    assert done == [spark, spark]
+    monkeypatch.undo()
+    shared.collect(spark)
+
+
 # Pipeline
 
 
