@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.textbytes import buffer_of, mix
+from quillon.llm.textbytes import buffer_of, eased, mix
 
 #: Rolling-hash bits that must be 0 at a cut (about 1 cut in 512 bytes), and bytes of text whose tokens a task keeps.
 CUT_BITS, KEPT_BYTES = 9, 24 << 20
@@ -196,4 +196,4 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False, id_
                 columns = [batch.column(0)[lo:hi], *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.binary())[: 3 + keep_ids]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(eased(run), schema)

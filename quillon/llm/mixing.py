@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import stored
-from quillon.llm.textbytes import buffer_of, pieces, spans
+from quillon.llm.textbytes import buffer_of, eased, pieces, spans
 
 #: Documents in a block on average, and ranges of blocks whose sums the driver sees at once.
 BLOCK_ROWS, RANGES = 64, 256
@@ -99,7 +99,7 @@ def word_sizes(docs: DataFrame) -> DataFrame:
                 sizes.append(np.diff(spans(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes))], names=["doc_id", "source", "size"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, size long")
+    return docs.select("doc_id", "source", "text").mapInArrow(eased(run), "doc_id long, source string, size long")
 
 
 _PLAN = "__key string, __blocks long, __step long, __shift long, __size long, __target double, __whole int, __need double"

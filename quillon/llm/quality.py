@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.textbytes import LOWER, U64, buffer_of, mix, pieces, spans, word_hashes
+from quillon.llm.textbytes import LOWER, U64, buffer_of, eased, give_back, mix, pieces, spans, word_hashes
 
 #: Hash buckets of tokens, size of a word vector, index entries that aren't 0, hidden units, neighbours on each side.
 BUCKETS, DIMS, NONZERO, HIDDEN, REACH = 1 << 16, 32, 4, 16, 2
@@ -90,6 +90,7 @@ def _gathered(columns, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
                 at, total, seen = _context(fixed, buckets, bounds)
                 own[0][at] += total
                 own[1][at] += seen
+        give_back()
     return sums
 
 
@@ -104,7 +105,7 @@ def corpus_context(docs: DataFrame, seed: int = 5, text_col: str = "text") -> li
                 own = at[lo : lo + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind)), pa.array(own), pa.array(seen[own]), *(pa.array(total[own, i]) for i in range(DIMS))], names=names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(eased(run), ", ".join(f"{n} long" for n in names))
     rows = rows.groupBy("kind", "bucket").agg(*(F.sum(n).alias(n) for n in names[2:])).toArrow()
     sums = [(np.zeros((BUCKETS, DIMS), np.int64), np.zeros(BUCKETS, np.int64)) for _ in range(2)]
     kinds, buckets = rows["kind"].to_numpy(), rows["bucket"].to_numpy()
@@ -237,7 +238,9 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int =
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(scores(shared.value, column))
+        out = pa.array(scores(shared.value, column))
+        give_back()
+        return out
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
     added = F.arrow_udf(score, "double")(F.col(text_col).cast("string"))

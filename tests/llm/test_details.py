@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import chroma, components, context_tree, licenses, mixing, near_dedup, quality, shared, syncmers
+from quillon.llm import chroma, components, context_tree, licenses, mixing, near_dedup, quality, shared, syncmers, textbytes
 from quillon.llm.queries import op8_source_mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -411,6 +411,17 @@ def test_driver_gives_memory_back(spark, monkeypatch):
     shared.collect(spark)
 
 
+def test_workers_give_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(textbytes, "give_back", lambda: done.append(True))
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    for i, _ in enumerate(textbytes.eased(lambda held: held)(iter(batches))):
+        assert i < 3 and not done
+    assert done == [True]
+    monkeypatch.undo()
+    textbytes.give_back()
+
+
 # Pipeline
 
 
