@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import release, stored, text_bytes
 from quillon.llm.textbytes import LOWER, U64, buffer_of, pieces, spans, word_hashes
 
-#: Bytes of text in a chunk, and chunks whose runs meet in one task.
-CHUNK_BYTES, FAN = 24 << 20, 64
+#: Bytes of text in a chunk, chunks whose runs meet in one task, and places of a stream that are looked up at once.
+CHUNK_BYTES, FAN, BLOCK = 24 << 20, 64, 1 << 16
 
 
 def _streams(column: pa.Array, depth: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -223,10 +223,13 @@ def code_lengths(column: pa.Array, table: np.ndarray, child: np.ndarray, depth:
 
 def _runs(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The bytes at the positions, each behind its context with the nearest byte first: runs under one context are neighbours in order."""
-    run = np.zeros(len(at), np.int64)
-    for d in range(1, depth + 1):
-        run = (run << 8) | stream[at - d]
-    return (run << 8) | stream[at]
+    # All places of the stream step by step, then those wanted: no gather for each byte of a run.
+    n = len(stream) - depth
+    run = np.zeros(n, np.int64)
+    for d in [*range(1, depth + 1), 0]:
+        run <<= 8
+        run |= stream[depth - d : depth - d + n]
+    return run[at - depth]
 
 
 def _added(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +257,22 @@ def run_counts(column: pa.Array, learns: np.ndarray, depth: int) -> tuple[np.nda
     return _added(*map(np.concatenate, zip(*held, strict=True)))
 
 
+def distinct_runs(column: pa.Array, depth: int) -> np.ndarray:
+    """Distinct runs of the texts, ascending."""
+    held = [np.zeros(0, np.int64)]
+
+    def merged() -> np.ndarray:
+        runs = np.sort(np.concatenate(held))
+        return runs[np.concatenate([[True], runs[1:] != runs[:-1]])] if len(runs) else runs
+
+    for _a, _b, stream, ends in _streams(column, depth):
+        own = np.sort(_runs(stream, _coded(stream, ends, depth), depth))
+        held.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        if len(held) > 8:
+            held = [merged()]
+    return merged()
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Longs as compressed planes of bytes."""
     return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -397,9 +416,18 @@ def run_scores(column: pa.Array, runs: np.ndarray, costs: np.ndarray, depth: int
     out = np.zeros(len(column))
     for a, b, stream, ends in _streams(column, depth):
         own = _runs(stream, _coded(stream, ends, depth), depth)
-        order = np.argsort(own)
         each = np.empty(len(own))
-        each[order] = costs[np.searchsorted(runs, own[order])]
+        for i in range(0, len(own), BLOCK):
+            # A run of up to 48 bits and its place in the block are one number: a plain sort, and one search for equal runs.
+            part = own[i : i + BLOCK].astype(U64)
+            part <<= U64(16)
+            part |= np.arange(len(part), dtype=U64)
+            part.sort()
+            place = (part & U64(BLOCK - 1)).astype(np.int64)
+            part >>= U64(16)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            found = costs[np.searchsorted(runs, part[first].astype(np.int64))]
+            each[i + place] = np.repeat(found, np.diff(first, append=len(part)))
         total = np.concatenate([[0.0], np.cumsum(each)])
         stops = np.cumsum(np.diff(np.concatenate([[0], ends])) - depth)
         out[a:b] = np.diff(np.concatenate([[0.0], total[stops]]))
@@ -502,7 +530,7 @@ def score(docs: DataFrame, depth: int = 5, nodes: int | None = None, folds: int
         if model:
             scores = code_lengths(column, *model.value, depth)
         else:
-            scores = run_scores(column, run_counts(column, np.zeros(len(column), bool), depth)[0], costs, depth)
+            scores = run_scores(column, distinct_runs(column, depth), costs, depth)
         yield from pa.table({
             "doc_id": group["doc_id"], "held_out": pa.array(~group["learns"].to_numpy().astype(bool)), "n_tokens": tokens, "n_known": hits,
             "train_tokens": np.full(len(column), train_tokens), "base_score": base, "score": scores, "bits_per_byte": scores * -np.log2(10) / (np.diff(offsets) + 1),

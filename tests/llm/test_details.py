@@ -176,6 +176,22 @@ def test_context_tree_against_recursion(spark, monkeypatch, fan):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(own), sum(w in counts for w in own), n)
 
 
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_runs_are_found_block_by_block(monkeypatch, block):
+    monkeypatch.setattr(context_tree, "BLOCK", block)
+    texts = ["abcabcab", "", "B\xe9 abcabc", "zz"]
+    for depth in (2, 5):
+        own = []
+        for t in texts:
+            line = bytes(depth) + t.lower().encode() + b"\0"
+            own.append([int.from_bytes(line[i - depth : i][::-1] + line[i : i + 1], "big") for i in range(depth, len(line))])
+        runs = context_tree.distinct_runs(pa.array(texts), depth)
+        assert runs.tolist() == sorted({r for o in own for r in o})
+        costs = {r: -1 / (2 + i) for i, r in enumerate(runs.tolist())}
+        got = context_tree.run_scores(pa.array(texts), runs, np.array(list(costs.values())), depth)
+        assert got.tolist() == pytest.approx([sum(costs[r] for r in o) for o in own])
+
+
 # Quality classifier
 
 
