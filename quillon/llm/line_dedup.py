@@ -137,11 +137,11 @@ class _Join:
         self.most, self.per_word = most, per_word
         self.allowed = lambda n: _allowed(n, most, per_word, per_char)
         # A generator makes a column of what is read more than once, which the optimizer would else compute anew each time.
-        rows = lines.select("place", *_ids(), "line", F.expr("inline(array(named_struct('words', split(line, ' '))))"))
+        rows = lines.select("place", *_ids(), "line", F.expr("inline(array(named_struct('words', transform(split(line, ' '), x -> hash(x)))))"))
         rows = rows.withColumn("by_word", F.expr(f"size(words) >= {per_word}")).withColumn("n", F.expr("if(by_word, size(words), length(line))"))
         some = F.expr(self.allowed("n")) > 0
-        h = F.expr("transform(if(by_word, words, split(line, '')), x -> hash(x))")
-        self.table = stored(rows.select("place", "id", "check", "by_word", "n", F.when(some, F.col("line")).alias("line"), F.when(some, h).alias("h")), "lines")
+        h = F.expr("if(by_word, words, transform(split(line, ''), x -> hash(x)))")
+        self.table = stored(rows.select("place", "id", "check", "by_word", "n", F.when(some, F.col("line")).alias("line"), F.when(some, h).alias("h")), "lines", "zstd")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """(id) of the later line of each pair (ia, ib) that is within the edits; ia is no longer than ib."""
@@ -229,7 +229,10 @@ def repeated(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10, cha
     info = stored(known.join(near, "id", "left").where("n > 1 or near").select("id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")), "info")
     some = marked(join.table.select("place", "id", "check"), "id", named(info, "id")).where("__named").drop("__named")
     gone = some.join(info, ["id", "check"]).where("near or place > first")
-    return gone.groupBy("place.doc", "place.own").agg(F.array_sort(F.collect_list("place.pos")).alias("gone"), F.count_if(F.col("place") == F.col("first")).alias("near"))
+    gone = gone.groupBy("place.doc", "place.own").agg(F.array_sort(F.collect_list("place.pos")).alias("gone"), F.count_if(F.col("place") == F.col("first")).alias("near"))
+    gone = stored(gone, "gone")
+    release(join.table, info)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10, chars_per_edit: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,14 +252,14 @@ def dedup_lines(docs: DataFrame, most_edits: int = 2, words_per_edit: int = 10,
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(*[docs[f"`{c}`"] for c in columns], F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit((1 << 63) - 1)).alias("__doc"))
     base = base.withColumn("__own", F.xxhash64(text))
-    gone = stored(repeated(base.select(F.col("__doc").alias("doc"), F.col("__own").alias("own"), text.alias("text")), most_edits, words_per_edit, chars_per_edit), "gone")
+    gone = repeated(base.select(F.col("__doc").alias("doc"), F.col("__own").alias("own"), text.alias("text")), most_edits, words_per_edit, chars_per_edit)
     split = marked(base, "__doc", named(gone, "doc"))
     hit = split.where("__named").join(gone.withColumnsRenamed({"doc": "__doc", "own": "__own", "gone": "__at", "near": "__near"}), ["__doc", "__own"], "left")
     rest = split.where("not __named").withColumns({"__at": F.lit(None).cast("array<int>"), "__near": F.lit(0).cast("long")})
-    out = hit.unionByName(rest).withColumns({"__raw": F.split(text, "\n"), "__gone": F.coalesce("__at", F.expr("cast(array() as array<int>)"))})
+    out = hit.unionByName(rest).withColumns({"__raw": F.when(F.col("__at").isNotNull(), F.split(text, "\n")), "__gone": F.coalesce("__at", F.expr("cast(array() as array<int>)"))})
     # What stands between the places that go, slice by slice.
     pieces = "transform(sequence(0, size(__gone)), i -> slice(__raw, if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1) + 1, if(i = size(__gone), size(__raw), __gone[least(i, size(__gone) - 1)]) - if(i = 0, 0, __gone[greatest(i - 1, 0)] + 1)))"
-    kept = F.expr(f"if(size(__gone) = 0, __raw, flatten({pieces}))")
-    size = F.coalesce(F.when(text.isNotNull(), F.size("__raw")), F.lit(0)).cast("long")
-    kept = [F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+    kept = F.when(F.size("__gone") == 0, text).otherwise(F.array_join(F.expr(f"flatten({pieces})"), "\n"))
+    size = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    kept = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
     return out.select(*kept, size.alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"))

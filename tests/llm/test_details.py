@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import chroma, components, context_tree, licenses, mixing, near_dedup, quality, shared, syncmers, textbytes
+from quillon.llm import chroma, components, context_tree, licenses, line_dedup, mixing, near_dedup, quality, shared, syncmers, textbytes
 from quillon.llm.queries import op8_source_mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -438,6 +438,24 @@ def test_workers_give_memory_back(monkeypatch):
     textbytes.give_back()
 
 
+def test_bitmaps_name_without_sorting(spark):
+    ids = spark.createDataFrame([(i * 977 - 40000,) for i in range(300)], "id long")
+    bits = shared.named(ids, "id")
+    assert "SortAggregate" not in bits._jdf.queryExecution().executedPlan().toString()
+    rows = shared.marked(spark.range(-50000, 250000, 7).unionByName(ids), "id", bits).groupBy("__named").agg(F.collect_set("id").alias("ids")).collect()
+    seen = {r["__named"]: set(r["ids"]) for r in rows}
+    assert {r["id"] for r in ids.collect()} <= seen[True] and len(seen[True]) < 400 and len(seen[False]) > 40000
+
+
+def test_lines_go_before_the_texts_are_made(spark):
+    docs = spark.createDataFrame([(1, "one two\nthree four"), (2, "one two\n\nfive"), (3, None), (4, "")], "doc_id long, text string")
+    before = set(shared._made)
+    out = line_dedup.dedup_lines(docs)
+    assert [x.rsplit("/", 1)[1].split("-")[1] for x in set(shared._made) - before if "-lines-" in x or "-info-" in x] == []
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()}
+    assert got == {1: ("one two\nthree four", 2, 0), 2: ("\nfive", 3, 1), 3: (None, 0, 0), 4: ("", 1, 0)}
+
+
 # Pipeline
 
 
